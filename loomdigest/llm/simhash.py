@@ -13,7 +13,7 @@ of all trees would grow with the corpus and pass through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,22 +28,32 @@ from .components import components
 _PART = 1 << 16
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """Bits set in over half the shingles' XXH64; no words give 0."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, in parts of bounded length."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     starts, ends = starts[:n], (ends[width - 1 :] if len(words) >= width else ends[-1:])
     hashed = xxhash.xxh64_intdigest
-    sums = np.zeros(64, np.int64)
     for at in range(0, n, _PART):
-        part = np.array([hashed(whole[a:b], seed) for a, b in zip(starts[at : at + _PART].tolist(), ends[at : at + _PART].tolist(), strict=True)], dtype=">u8")
-        sums += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(sums * 2 > n).tobytes(), "big")
+        yield np.array([hashed(whole[a:b], seed) for a, b in zip(starts[at : at + _PART].tolist(), ends[at : at + _PART].tolist(), strict=True)], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the hashes; none give 0."""
+    sums, n = np.zeros(64, np.int64), 0
+    for part in parts:
+        sums += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(sums * 2 > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(text: Column, width: int) -> Column:
@@ -190,6 +200,85 @@ def _classes(fps: DataFrame, radius: int, blocks: int, shard: int) -> DataFrame:
     return fps.join(moved, "fp").select("doc_id", digits, "component_id")
 
 
+#: Odd multipliers of the shard keys of ``near_classes``.
+_MIX = np.random.default_rng(8).integers(0, 1 << 63, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = 128
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets from their smallest hashes; exact for sets that fit a sketch."""
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        both = both[:SKETCH]
+    return float((np.isin(both, a) & np.isin(both, b)).sum()) / max(1, len(both))
+
+
+def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float, radius: int, keys: int, shard: int) -> DataFrame:
+    """(a, b): links between ids of texts of that shingle similarity, fewest that keep what they connect.
+
+    At 0.8 fingerprints differ in about ten bits, which no runs of equal bits can find. Texts
+    meet instead in shards by the least of their shingles' hashes, under ``keys`` mixings;
+    similar texts miss all with probability (1 - similarity) ** keys. A shard is searched
+    through BK-trees, and what lies within the radius is checked by sketches of the shingles.
+    """
+
+    @F.arrow_udf("fp long, least array<long>, sketch binary")
+    def prepare(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            fps, leasts, sketches = [], [], []
+            for at in range(0, len(array), 512):
+                for t in array.slice(at, 512).to_pylist():
+                    parts = list(shingle_hashes(t, width)) or [np.zeros(1, np.uint64)]
+                    fps.append(majority(parts))
+                    leasts.append(np.min([(p[None, :] * _MIX[:keys, None]).min(axis=1) for p in parts], axis=0).view(np.int64).tolist())
+                    sketches.append(np.unique(np.concatenate([np.unique(p)[:SKETCH] for p in parts]))[:SKETCH].tobytes())
+            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(leasts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["fp", "least", "sketch"])
+
+    rows = docs.select(F.col(doc_id).alias("id"), prepare(F.col(text)).alias("p")).select("id", "p.fp", "p.least", "p.sketch")
+    rows = checkpoint(rows)
+    keyed = rows.select("id", F.posexplode("least").alias("n", "at"))
+    sizes = keyed.groupBy("n", "at").agg(F.count("*").alias("size")).where("size > 1")
+    cut = keyed.join(sizes, ["n", "at"])
+    trees = F.ceil(F.col("size") / shard).cast("int")
+    cut = cut.withColumn("trees", trees).withColumn("mine", F.pmod(F.xxhash64("id"), trees).cast("int"))
+    cut = cut.withColumn("pair", F.explode(F.expr("transform(sequence(0, trees - 1), o -> struct(least(o, mine) AS i, greatest(o, mine) AS j))")))
+    cut = cut.select("n", "at", "pair.i", "pair.j", "mine", "id").join(rows.select("id", "fp", "sketch"), "id")
+
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = key[2].as_py(), key[3].as_py()
+        members = [m for b in batches for m in zip(b.column("mine").to_pylist(), b.column("id").to_pylist(), b.column("fp").to_numpy().view(np.uint64).tolist(), b.column("sketch").to_pylist(), strict=True)]
+        members.sort(key=lambda m: (m[0], m[1]))
+        tree, joined, found = BKTree(), _Forest(), []
+        held: list[tuple[int, np.ndarray]] = []
+        for mine, id_, fp, raw in members:
+            sketch = np.frombuffer(raw, np.uint64)
+            if i == j or mine == j:
+                for node in tree.near(fp, radius):
+                    other, theirs = held[node]
+                    if joined.root(other) != joined.root(id_) and sketch_similarity(sketch, theirs) >= similarity:
+                        joined.join(other, id_)
+                        found.append((other, id_))
+            if i == j or mine == i:
+                tree.add(fp)
+                held.append((id_, sketch))
+        columns = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return cut.groupBy("n", "at", "i", "j").applyInArrow(search, "a long, b long").distinct()
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 6, shard: int = 4096) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component of near copies, with all their columns.
+
+    Rows of null ids stay, as no link can name them. Null, empty and blank texts are copies of
+    one another. Rows that repeat an id stay or go together.
+    """
+    known = docs.where(F.col(doc_id).isNotNull())
+    member = components(near_links(known, doc_id, text, width, similarity, radius, keys, shard))
+    gone = member.where("node <> root").select(F.col("node").alias("__gone"))
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4, blocks: int = 6, shard: int = 4096) -> DataFrame:
     """The rows of docs whose id is its component's smallest, with all their columns."""
     found = classes(docs, doc_id, text, width, radius, blocks, shard)
