@@ -182,8 +182,11 @@ def _train(net: Network, gates_in: np.ndarray, real: np.ndarray, y: np.ndarray,
                 p[k] -= (0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)).astype(p[k].dtype)
 
 
-def fit(texts: list[str], y: list[int], rounds: int = 3, seed: int = 7, least: int = 4, hard: int = 2) -> Network:
-    """A network from texts and labels; without both classes it scores everything alike."""
+def fit(texts: list[str], y: list[int], rounds: int = 3, least_steps: int = 240, seed: int = 7, least: int = 4, hard: int = 2) -> Network:
+    """A network from texts and labels; without both classes it scores everything alike.
+
+    Few windows are gone through more often, up to ``least_steps`` steps of 64 windows.
+    """
     docs = [tokens(t) for t in texts]
     df = (Counter(), Counter())
     for words, c in zip(docs, y, strict=True):
@@ -226,7 +229,7 @@ def fit(texts: list[str], y: list[int], rounds: int = 3, seed: int = 7, least: i
             marks.append(m)
             target.append(c)
             at_rows.append(place)
-    _train(net, np.array(rows), np.array(marks), np.array(target, f32), np.array(at_rows), rounds, seed)
+    _train(net, np.array(rows), np.array(marks), np.array(target, f32), np.array(at_rows), max(rounds, -(-least_steps // -(-len(rows) // 64))), seed)
     return net
 
 
@@ -251,7 +254,7 @@ class Scorer:
         new = list(dict.fromkeys(w for words in docs for w in words if w not in row))
         fresh = {w: base + i for i, w in enumerate(new)}
         blank = base + len(new)
-        gates = np.concatenate([self.gates, *[self.net.projected(new)] * bool(new), np.zeros((1, 6 * H), f32)])
+        gates = np.concatenate([self.gates, *([self.net.projected(new)] if new else []), np.zeros((1, 6 * H), f32)])
         gates[blank] = np.concatenate([self.net.p["bf"], self.net.p["bb"]])
         best = np.full(len(docs), -np.inf)
         full, owner, short = [], [], []
