@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+import re
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, fields, replace
 
 MULTIPLIERS = {"conservative": 1.5, "moderate": 1.0, "aggressive": 0.6}
 ENV_PREFIX = "LOOMDIGEST_"
@@ -18,6 +19,7 @@ class Config:
     message_max_tokens: int = 3000
     summary_max_lines: int = 40
     aggressiveness: str = "moderate"
+    preserve_patterns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.aggressiveness not in MULTIPLIERS:
@@ -52,4 +54,38 @@ def _parse(kind: str, value: object) -> object | None:
             return int(float(value) + 0.5)  # type: ignore[arg-type]
         except (TypeError, ValueError):
             return None
+    if kind.startswith("tuple"):
+        return None if value is None else patterns(value)
     return value if value in MULTIPLIERS else None
+
+
+def patterns(value: object) -> tuple[str, ...]:
+    """The valid regular expressions of a list, or of a text apart by commas."""
+    parts: Iterable[object] = value.split(",") if isinstance(value, str) else value if isinstance(value, (list, tuple)) else ()
+    found = []
+    for part in parts:
+        text = str(part).strip()
+        try:
+            re.compile(text)
+        except re.error:
+            continue
+        if text:
+            found.append(text)
+    return tuple(found)
+
+
+#: Bounds within which limits can be set at run time.
+BOUNDS = {"tool_output_max_tokens": (100, 5000), "patch_max_tokens": (100, 3000), "file_content_max_tokens": (200, 5000)}
+
+
+def configure(config: Config, **changes: object) -> Config:
+    """The configuration with the valid changes, limits held within their bounds; ValueError if none is valid."""
+    valid: dict[str, object] = {}
+    for f in fields(Config):
+        value = _parse(f.type, changes.get(f.name)) if f.name in changes else None
+        if value is not None:
+            low, high = BOUNDS.get(f.name, (None, None))
+            valid[f.name] = value if low is None else min(max(value, low), high)  # type: ignore[type-var]
+    if not valid:
+        raise ValueError("no valid configuration changes")
+    return replace(config, **valid)  # type: ignore[arg-type]
