@@ -14,24 +14,31 @@ WIDE = re.compile("[一-鿿㐀-䶿豈-﫿⺀-⻿　-〿぀-ゟ゠-ヿ＀-￯가-
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
-def pattern(text: str, flags: int = 0) -> re.Pattern[str]:
-    """A pattern with ASCII letters and digits, white space as in BLANKS, and ``.`` and ``$`` by line ends of any kind."""
+def spelled(text: str, blanks: str, ends: str, last: str, boundary: str = r"\b") -> str:
+    """A pattern with its ``\\s``, ``.``, ``$`` and ``\\b`` spelt out, so that engines agree on them."""
     out, in_class, i = [], False, 0
     while i < len(text):
         two = text[i : i + 2]
         if two == r"\s":
-            out.append(BLANKS if in_class else f"[{BLANKS}]")
+            out.append(blanks if in_class else f"[{blanks}]")
+        elif two == r"\b":
+            out.append(boundary)
         elif two[0] == "\\":
             out.append(two)
         elif two[0] == "." and not in_class:
-            out.append("[^\n\r  ]")
-        elif two[0] == "$" and not in_class and not flags & re.M:
-            out.append(r"\Z")
+            out.append(f"[^{ends}]")
+        elif two[0] == "$" and not in_class:
+            out.append(last)
         else:
             in_class = two[0] == "[" or (in_class and two[0] != "]")
             out.append(two[0])
         i += 2 if two[0] == "\\" else 1
-    return re.compile("".join(out), flags | re.A)
+    return "".join(out)
+
+
+def pattern(text: str, flags: int = 0) -> re.Pattern[str]:
+    """A pattern with ASCII letters and digits, white space as in BLANKS, and ``.`` and ``$`` by line ends of any kind."""
+    return re.compile(spelled(text, BLANKS, "\n\r\u2028\u2029", "$" if flags & re.M else r"\Z"), flags | re.A)
 
 
 def units(x: str) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .plain import spelled
 
 # Ranges of wide letters, and characters outside the basic plane.
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{2e80}-\x{2eff}\x{3000}-\x{303f}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ff00}-\x{ffef}\x{ac00}-\x{d7af}]"
@@ -70,3 +71,23 @@ def threshold(kind: Column, config: Config) -> Column:
         .when(kind == "reasoning", scaled(config.tool_output_max_tokens * 1.5))
         .when(kind == "text", scaled(config.message_max_tokens))
     )
+
+
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_ENDS = r"\n\r\x{2028}\x{2029}"
+
+
+def for_spark(pattern: str) -> str:
+    """A pattern of ``patterns`` for rlike and its kin."""
+    return spelled(pattern, BLANK[1:-1], _ENDS, r"\z", _BOUNDARY)
+
+
+def for_re2(pattern: str) -> str:
+    """The same for engines with RE2, where word boundaries are ASCII ones."""
+    return spelled(pattern, BLANK[1:-1], _ENDS, "$")
+
+
+def either(patterns: tuple[str, ...], ignore_case: bool, spell=for_spark) -> str:
+    """One pattern for any of several; their own leading (?i) holds for them alone."""
+    return "|".join(f"(?{'i' if ignore_case or p.startswith('(?i)') else ''}:{spell(p.removeprefix('(?i)'))})" for p in patterns)
