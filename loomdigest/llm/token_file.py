@@ -201,21 +201,60 @@ def _documents(spark: SparkSession, path: str, vocabulary: int, with_ids: bool)
         b = np.minimum(docs.column("inside").to_numpy() + docs.column("n_tokens").to_numpy() - base, len(ids))
         parts = [ids[x:y].tobytes() for x, y in zip(a, b, strict=True)]
         whole = docs.column("n_tokens").to_numpy() == b - a
-        return pa.table([docs.column("doc_id"), docs.column("start"), docs.column("n_tokens"), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([p if with_ids or not w else None for p, w in zip(parts, whole, strict=True)], pa.binary()), pa.array(whole), pa.array([key[1].as_py()] * len(parts), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids", "whole", "run"])
+        return pa.table([docs.column("doc_id"), docs.column("start"), docs.column("n_tokens"), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts if with_ids else [None] * len(parts), pa.binary()), pa.array(whole), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(list(map(len, parts)), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids", "whole", "run", "n_bytes"])
 
-    found = runs.groupBy("part", "run").cogroup(pieces.groupBy("part", "run")).applyInArrow(cut, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary, whole boolean, run long")
+    found = runs.groupBy("part", "run").cogroup(pieces.groupBy("part", "run")).applyInArrow(cut, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary, whole boolean, run long, n_bytes long")
+
+    if not with_ids:
+        # a piece's crc and length are all that its neighbours need, so blocks are decoded once
+        @F.arrow_udf("long")
+        def combined(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for array in arrays:
+                yield pa.array([join_crcs([(p["crc"], p["n"]) for p in parts]) for parts in array.to_pylist()], pa.int64())
+
+        each = F.array_sort(F.collect_list(F.struct("run", F.col("ids_crc32").alias("crc"), F.col("n_bytes").alias("n"))))
+        grouped = found.groupBy("start", "doc_id", "n_tokens").agg(each.alias("p"))
+        return grouped.select("doc_id", "start", "n_tokens", combined("p").alias("ids_crc32"))
+    whole = checkpoint(found)
+    # a document in several runs: few, as a run is long; each is shorter than memory as its text was
+    split = whole.where("not whole").groupBy("start", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("p"))
 
     @F.arrow_udf("long")
     def crc(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
             yield pa.array([zlib.crc32(b) for b in array.to_pylist()], pa.int64())
 
-    columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])
-    # a document in several runs: few, as a run is long; each is shorter than memory as its text was
-    split = found.where("not whole").groupBy("start", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("p"))
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
     split = split.withColumn("ids", F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"])))
     joined = split.withColumn("ids_crc32", crc("ids"))
-    return found.where("whole").select(columns).unionByName(joined.select(columns))
+    return whole.where("whole").select(columns).unionByName(joined.select(columns))
+
+
+_CRC_POLYNOMIAL = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of the crc, the highest power in the lowest bit."""
+    product = 0
+    while a:
+        if a & 1 << 31:
+            product ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (_CRC_POLYNOMIAL if b & 1 else 0)
+    return product
+
+
+def join_crcs(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of pieces in a row, from (crc32, bytes) of each: what comes before moves up by a piece's length."""
+    crc = 0
+    for own, n in parts:
+        shift, power = 1 << 31, 1 << 23  # 1, and the power for one byte
+        while crc and n:
+            shift = _times(shift, power) if n & 1 else shift
+            power = _times(power, power)
+            n >>= 1
+        crc = _times(shift, crc) ^ own if crc else own
+    return crc
 
 
 def fresh_path(spark: SparkSession) -> str:
