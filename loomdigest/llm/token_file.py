@@ -9,10 +9,12 @@ in ascending doc_id order. Spark's committer writes both, so lost executors leav
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ from . import rangecoder
 from .common import checkpoint
 
 BLOCK = 4096
+#: Latin-1 letters and then marks: lower-casing is all the normaliser does to these letters, and the
+#: word cut leaves them whole and cuts before the marks.
+_WORD = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)")
 #: Ids coded at a time in a task; bounds its memory.
 CHUNK = BLOCK * 1024
 
@@ -32,11 +37,11 @@ class Encoder:
 
     The tokenizer cuts at white space before it merges, so a text's ids are those of its
     runs between ASCII blanks and line ends; runs met before are remembered, new ones are
-    encoded by the library together. ``splits`` is false for a tokenizer without that cut;
+    encoded by the library together; past ``remember`` runs the memory starts anew. ``splits`` is false for a tokenizer without that cut;
     then each text is encoded at once.
     """
 
-    def __init__(self, file: str, end_id: int, remember: int = 300_000, splits: bool = True):
+    def __init__(self, file: str, end_id: int, remember: int = 600_000, splits: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end, self.remember, self.splits = Tokenizer.from_file(file), end_id, remember, splits
@@ -45,30 +50,27 @@ class Encoder:
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
 
-    def _letters(self, run: str) -> bool:
-        """Latin-1 letters only: lower-casing them is all the normaliser does, and the word cut leaves them whole."""
-        return run.isalpha() and max(run) <= "ÿ"
-
-    def _fresh(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs not met before: lower-case letters go to the library's merges at once, others through all its steps."""
-        out: dict[str, bytes] = {}
-        other = []
+    def _fresh(self, words: list[str], others: list[str]) -> dict[str, bytes]:
+        """Ids of words, which go to the library's merges at once, and of other runs, which go through all its steps."""
         merges, spelled, packed = self.tokenizer.model.tokenize, self.spelled, array
-        for r in runs:
-            if self._letters(r):
-                out[r] = packed("I", [t.id for t in merges(r.translate(spelled))]).tobytes()
-            else:
-                other.append(r)
-        for r, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+        out = {w: packed("I", [t.id for t in merges(w.translate(spelled))]).tobytes() for w in words}
+        for r, got in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
             out[r] = packed("I", got.ids).tobytes()
         return out
 
-    def _pieces(self, run: str) -> list[str]:
-        """A run of letters and then of punctuation falls into these two; others stay whole."""
-        if self._letters(run):
-            return [run.lower()]
-        stem = run.rstrip(".,;:!?*#$%&|")
-        return [stem.lower(), run[len(stem) :]] if len(stem) < len(run) and stem and self._letters(stem) else [run]
+    def _learn(self, runs: set[str]) -> list[str]:
+        """Put the ids of runs not met before among the known ones; those too long to keep are returned."""
+        known, split = self.known, {}
+        words, others = set(), set()
+        for r in runs:
+            found = _WORD.fullmatch(r)
+            word, marks = (found[1].lower(), found[2]) if found else ("", r)
+            split[r] = word, marks
+            words.add(word)
+            others.add(marks)
+        known.update(self._fresh(list(words.difference(known)), list(others.difference(known))))
+        known.update([(r, known[a] + known[b]) for r, (a, b) in split.items()])
+        return [r for r in chain(runs, words, others) if len(r) > 64]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text with the end id."""
@@ -76,23 +78,15 @@ class Encoder:
         if not self.splits:
             return [np.array(e.ids, np.uint32).tobytes() + end for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         known = self.known
+        known[""] = b""
         runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {r for rs in runs for r in rs if r not in known and r}
-        parts = {r: self._pieces(r) for r in new}
-        wanted = {p for ps in parts.values() for p in ps}
-        ids = {p: known[p] for p in wanted if p in known}
-        ids |= self._fresh(sorted(wanted - ids.keys()))
-        ids |= {r: b"".join([ids[p] for p in ps]) for r, ps in parts.items()}
-        ids[""] = b""
-        out = []
-        for rs in runs:
-            got = list(map(known.get, rs))
-            if None in got:
-                got = [ids[r] if g is None else g for r, g in zip(rs, got, strict=True)]
-            out.append(b"".join(got) + end)
-        room = self.remember - len(known)
-        if room > 0:
-            known.update((r, ids[r]) for r in list(ids)[:room] if len(r) <= 64)
+        new = set(chain.from_iterable(runs)).difference(known)
+        long = self._learn(new) if new else []
+        out = [b"".join(map(known.__getitem__, rs)) + end for rs in runs]
+        for r in long:
+            known.pop(r, None)
+        if len(known) > self.remember:  # common runs are soon met again
+            known.clear()
         return out
 
 
