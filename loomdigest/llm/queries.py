@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pieces, quality, simhash, token_file, topk, toxicity
+from . import exact_dedup, langid, mixing, pieces, quality, simhash, token_file, topk, toxicity, licenses
 from .common import remainder, table
 
 END_ID, WORD_VOCABULARY = 1, 49_408
@@ -99,3 +99,11 @@ SQL = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
 }
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_license_scan"] = op7_license_scan
+SQL["op7_license_scan"] = licenses.SQL
