@@ -203,6 +203,14 @@ def _classes(fps: DataFrame, radius: int, blocks: int, shard: int) -> DataFrame:
 #: Odd multipliers of the shard keys of ``near_classes``.
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = 128
+#: Standard errors below the similarity from which a sketch is far enough to discard a pair.
+_ERRORS = 5
+
+
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -213,58 +221,109 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(both, a) & np.isin(both, b)).sum()) / max(1, len(both))
 
 
-def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float, radius: int, keys: int, shard: int) -> DataFrame:
-    """(a, b): links between ids of texts of that shingle similarity, fewest that keep what they connect.
-
-    At 0.8 fingerprints differ in about ten bits, which no runs of equal bits can find. Texts
-    meet instead in shards by the least of their shingles' hashes, under ``keys`` mixings;
-    similar texts miss all with probability (1 - similarity) ** keys. A shard is searched
-    through BK-trees, and what lies within the radius is checked by sketches of the shingles.
-    """
+def _prepared(text: Column, width: int, keys: int, whole: bool) -> Column:
+    """Fingerprint, least hash under each mixing, and the sketch or the whole set of a text's shingles, sorted."""
 
-    @F.arrow_udf("fp long, least array<long>, sketch binary")
+    @F.arrow_udf("fp long, least array<long>, hashes binary")
     def prepare(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in texts:
-            fps, leasts, sketches = [], [], []
+            fps, leasts, hashes = [], [], []
             for at in range(0, len(array), 512):
                 for t in array.slice(at, 512).to_pylist():
                     parts = list(shingle_hashes(t, width)) or [np.zeros(1, np.uint64)]
                     fps.append(majority(parts))
                     leasts.append(np.min([(p[None, :] * _MIX[:keys, None]).min(axis=1) for p in parts], axis=0).view(np.int64).tolist())
-                    sketches.append(np.unique(np.concatenate([np.unique(p)[:SKETCH] for p in parts]))[:SKETCH].tobytes())
-            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(leasts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["fp", "least", "sketch"])
+                    kept = None if whole else SKETCH
+                    hashes.append(np.unique(np.concatenate([np.unique(p)[:kept] for p in parts]))[:kept].tobytes())
+            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(leasts, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], ["fp", "least", "hashes"])
 
-    rows = docs.select(F.col(doc_id).alias("id"), prepare(F.col(text)).alias("p")).select("id", "p.fp", "p.least", "p.sketch")
-    rows = checkpoint(rows)
-    keyed = rows.select("id", F.posexplode("least").alias("n", "at"))
-    sizes = keyed.groupBy("n", "at").agg(F.count("*").alias("size")).where("size > 1")
-    cut = keyed.join(sizes, ["n", "at"])
-    trees = F.ceil(F.col("size") / shard).cast("int")
+    return prepare(text)
+
+
+def _candidates(rows: DataFrame, similarity: float, radius: int, shard: int, whole: bool) -> DataFrame:
+    """(a, b, sure): links between roots of rows (id, root, fp, least, hashes) that share a key, fewest that keep what they connect.
+
+    With whole sets, and between texts that fit a sketch, links are exact and sure. Other
+    links are candidates, left out only when the sketches lie far below the similarity.
+    """
+    floor = similarity - _ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    keyed = rows.select("id", F.octet_length("hashes").alias("bytes"), F.posexplode("least").alias("n", "at"))
+    sizes = keyed.groupBy("n", "at").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes")).where("size > 1")
+    cut = keyed.drop("bytes").join(sizes, ["n", "at"])
+    trees = F.ceil(F.greatest(F.col("size") / shard, F.col("bytes") / (8 * SKETCH * shard))).cast("int")
     cut = cut.withColumn("trees", trees).withColumn("mine", F.pmod(F.xxhash64("id"), trees).cast("int"))
     cut = cut.withColumn("pair", F.explode(F.expr("transform(sequence(0, trees - 1), o -> struct(least(o, mine) AS i, greatest(o, mine) AS j))")))
-    cut = cut.select("n", "at", "pair.i", "pair.j", "mine", "id").join(rows.select("id", "fp", "sketch"), "id")
+    cut = cut.select("n", "at", "pair.i", "pair.j", "mine", "id").join(rows.select("id", "root", "fp", "hashes"), "id")
 
     def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = key[2].as_py(), key[3].as_py()
-        members = [m for b in batches for m in zip(b.column("mine").to_pylist(), b.column("id").to_pylist(), b.column("fp").to_numpy().view(np.uint64).tolist(), b.column("sketch").to_pylist(), strict=True)]
+        members = [m for b in batches for m in zip(b.column("mine").to_pylist(), b.column("id").to_pylist(), b.column("root").to_pylist(), b.column("fp").to_numpy().view(np.uint64).tolist(), b.column("hashes").to_pylist(), strict=True)]
         members.sort(key=lambda m: (m[0], m[1]))
         tree, joined, found = BKTree(), _Forest(), []
         held: list[tuple[int, np.ndarray]] = []
-        for mine, id_, fp, raw in members:
-            sketch = np.frombuffer(raw, np.uint64)
+        for mine, _, root, fp, raw in members:
+            hashes = np.frombuffer(raw, np.uint64)
             if i == j or mine == j:
                 for node in tree.near(fp, radius):
                     other, theirs = held[node]
-                    if joined.root(other) != joined.root(id_) and sketch_similarity(sketch, theirs) >= similarity:
-                        joined.join(other, id_)
-                        found.append((other, id_))
+                    if joined.root(other) != joined.root(root):
+                        sure = whole or max(len(hashes), len(theirs)) < SKETCH
+                        if (set_similarity(hashes, theirs) >= similarity) if sure else (sketch_similarity(hashes, theirs) >= floor):
+                            joined.join(other, root)
+                            found.append((other, root, sure))
             if i == j or mine == i:
                 tree.add(fp)
-                held.append((id_, sketch))
-        columns = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                held.append((root, hashes))
+        a, b, sure = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
-    return cut.groupBy("n", "at", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return cut.groupBy("n", "at", "i", "j").applyInArrow(search, "a long, b long, sure boolean").distinct()
+
+
+def _exact(a: Column, b: Column) -> Column:
+    @F.arrow_udf("double")
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = zip(a.to_pylist(), b.to_pylist(), strict=True)
+        return pa.array([set_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both], pa.float64())
+
+    return compare(a, b)
+
+
+def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float, radius: int, keys: int, shard: int) -> DataFrame:
+    """(a, b): links between ids of texts of that shingle similarity, enough to keep what they connect.
+
+    At 0.8 fingerprints differ in about ten bits, which no runs of equal bits can find. Texts
+    meet instead in shards by the least of their shingles' hashes, under ``keys`` mixings;
+    similar texts miss all with probability (1 - similarity) ** keys. A shard is searched
+    through BK-trees, and sketches discard what is clearly far. Links left by sketches are
+    confirmed by the whole shingle sets, fetched by id. A component with all its links
+    confirmed is settled, as true links are among the candidates; the others are searched
+    once more with whole sets.
+    """
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = checkpoint(texts.select("id", F.col("id").alias("root"), _prepared(F.col("text"), width, keys, False).alias("p")).select("id", "root", "p.*"))
+    found = checkpoint(_candidates(rows, similarity, radius, shard, False))
+    unsure = found.where("NOT sure").select("a", "b")
+    sure = found.where("sure").select("a", "b")
+    if unsure.isEmpty():
+        return sure
+    member = checkpoint(components(found.select("a", "b")))
+    open_roots = member.join(unsure.select(F.col("a").alias("node")), "node").select("root").distinct()
+    ids = member.join(open_roots, "root", "left_semi").select(F.col("node").alias("id"))
+    # one fetch serves the pair checks and the second search
+    whole = checkpoint(texts.join(ids, "id", "left_semi").select("id", _prepared(F.col("text"), width, keys, True).alias("p")).select("id", "p.*"))
+    sides = (whole.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
+    pairs = unsure.join(next(sides), "a").join(next(sides), "b")
+    # of rows that repeat an id the most similar counts
+    judged = checkpoint(pairs.select("a", "b", _exact(F.col("a_hashes"), F.col("b_hashes")).alias("s")).groupBy("a", "b").agg((F.max("s") >= similarity).alias("held")))
+    confirmed = sure.unionByName(judged.where("held").select("a", "b"))
+    refuted = judged.where("NOT held").select(F.col("a").alias("node"))
+    if refuted.isEmpty():
+        return confirmed
+    again = member.join(member.join(refuted, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("id"))
+    settled = components(confirmed).select(F.col("node").alias("id"), "root")
+    rows = whole.join(again, "id", "left_semi").join(settled, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return confirmed.unionByName(_candidates(checkpoint(rows), similarity, radius, shard, True).select("a", "b"))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 6, shard: int = 4096) -> DataFrame:
