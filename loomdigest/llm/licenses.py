@@ -3,11 +3,13 @@
 Canonical: A-Z lowered, lines that begin with a copyright mark dropped, equivalent spellings made one, punctuation
 and white space runs made one blank. Null and empty texts match nothing; tied rows each get their
 match; an empty table gives no rows. Columns of functions only; the catalogue is broadcast, as it
-holds the few rows given as literals.
+holds some twenty texts given as literals. SQL knows only the two of KNOWN.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ KNOWN = {
     "ISC": f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AUTHOR}",
     "0BSD": f"{_GRANT}.\n{_AUTHOR}",
 }
+#: Name and whole text of the bundled licences; a file name's part after @ tells variants of a licence apart.
+CATALOGUE = [*KNOWN.items(), *((p.stem.split("@")[0], p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))]
 # Spellings that mean the same.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("https:", "http:"), ("and/or", "and"), ("merchantibility", "merchantability"))
 _NOTICE, _MARKS = "(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$", "[\\x00-/:-@\\[-`{-\\x7f\\x{2018}\\x{2019}\\x{201c}\\x{201d}]+"
@@ -31,10 +35,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, _MARKS, " "))
 
 
-def scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
-    """doc_id, digest (of the canonical text, hex) and license (null where none is known)."""
+def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, digest (of the canonical text, hex) and license (null where none is known, of CATALOGUE or those given)."""
     spark = docs.sparkSession
-    pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("known")) for k, v in sorted(known.items())]
+    pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("known")) for k, v in sorted(CATALOGUE if known is None else known.items())]
     names = spark.range(1).select(F.inline(F.array(*pairs)))
     catalogue = names.groupBy(F.sha2(canonical(F.col("known")), 256).alias("digest")).agg(F.min("license").alias("license"))
     digests = docs.select("doc_id", F.sha2(canonical(F.coalesce("text", F.lit(""))), 256).alias("digest"))
