@@ -35,14 +35,32 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, _MARKS, " "))
 
 
+# A notice names a year, mark or holder; on one long line it ends where a licence's text begins.
+_BODY = "not|notices?|holders?|owners?|law|laws|and|or|licen[cs]es?|licensed|statements?|interests?|in|to|of|on|by|for|is|the|as|permission|treaty|resulting|disclaimer"
+_STARTS = "permission (?:is hereby granted|to use)|redistribution and use|this software is provided|everyone is permitted|$"
+_NOTICE_ONLY = f"(?m)^[ \\t]*(?:(?:\\(c\\)|©)[ \\t]*(?:copyright|[0-9]{{4}})|copyright(?![ \\t]+(?:{_BODY})\\b)[ \\t:]+[^ \\t\\n])[^\\n]*?(?={_STARTS})"
+
+
+def matched(text: Column) -> Column:
+    """The canonical form that licences are told by: lines of the body that begin with 'copyright' stay."""
+    x = F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), _NOTICE_ONLY, "")
+    for other, one in SPELLINGS:
+        x = F.replace(x, F.lit(other), F.lit(one))
+    return F.trim(F.regexp_replace(x, _MARKS, " "))
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """doc_id, digest (of the canonical text, hex) and license (null where none is known, of CATALOGUE or those given)."""
     spark = docs.sparkSession
     pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("known")) for k, v in sorted(CATALOGUE if known is None else known.items())]
     names = spark.range(1).select(F.inline(F.array(*pairs)))
-    catalogue = names.groupBy(F.sha2(canonical(F.col("known")), 256).alias("digest")).agg(F.min("license").alias("license"))
-    digests = docs.select("doc_id", F.sha2(canonical(F.coalesce("text", F.lit(""))), 256).alias("digest"))
-    return digests.join(F.broadcast(catalogue), "digest", "left").select("doc_id", "digest", "license")
+    found = []
+    # what the digest's own form finds, as SQL does, stays found
+    for form, key in ((matched, "match"), (canonical, "digest")):
+        found.append(F.broadcast(names.groupBy(F.sha2(form(F.col("known")), 256).alias(key)).agg(F.min("license").alias(f"by_{key}"))))
+    text = F.coalesce("text", F.lit(""))
+    digests = docs.select("doc_id", F.sha2(canonical(text), 256).alias("digest"), F.sha2(matched(text), 256).alias("match"))
+    return digests.join(found[0], "match", "left").join(found[1], "digest", "left").select("doc_id", "digest", F.coalesce("by_match", "by_digest").alias("license"))
 
 
 def _canonical_sql(x: str) -> str:
