@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,43 @@ def remainder(id_column: Column, modulus: int) -> Column:
 def share(column: Column, rate: float) -> Column:
     """A repeatable choice of about that share of the rows, by a hash of the column."""
     return F.pmod(F.xxhash64(column, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
+
+
+#: Keys that may be broadcast as hot ones, at most; a row of them is a key, a few numbers and no text.
+HOT_KEYS = 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "size", least: int = 200) -> DataFrame:
+    """rows joined with groups (one row a key, with the number of its rows in column ``size``).
+
+    Rows of large groups meet them by broadcast and are not dealt by key, so one key may hold
+    most rows. A large group has over ``least`` rows and over 1 in ``HOT_KEYS`` of the ``total``
+    rows, so there are at most ``HOT_KEYS`` of them. Rows whose key is in no group go.
+    """
+    if total <= least:
+        return rows.join(groups, key)
+    bound = max(least, total // HOT_KEYS)
+    hot = F.broadcast(groups.where(F.col(size) > bound))
+    cold = groups.where(F.col(size) <= bound)
+    cold_rows = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold_rows.join(cold, key))
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]) if df.columns else F.struct(F.lit(None))
+
+
+_resident: dict[str, tuple[Any, Any]] = {}
+
+
+def resident(key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one operator's tables at a time.
+
+    Workers outlive stages, so what the stage before kept is let go first.
+    """
+    held = _resident.get("held")
+    if held is None or held[0] != key:
+        _resident.clear()
+        _resident["held"] = held = (key, build())
+    return held[1]

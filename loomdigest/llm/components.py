@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_groups
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in links (a, b); root is the smallest node reachable.
 
     Every step keeps one link for each node and neighbour at most and is checkpointed in
-    the shared folder; it ends when a step changes nothing.
+    the shared folder; it ends when a step changes nothing. Nodes of many links, as roots of
+    large components are, meet these by broadcast.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    total = 2 * edges.count()
     before = None
     for _ in range(rounds):
         # large star: larger neighbours move to the smallest of the node and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = join_groups(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself move to the smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = join_groups(large, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpoint(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

@@ -5,20 +5,25 @@ hit more than once. Pass two tests every row against the marked slots: a row who
 were not all hit twice has a text of its own and passes straight through; the others are
 shuffled and compared by their whole digest. False positives only shuffle more.
 
-The filter is broadcast. Its size follows the row count up to ``max_slots`` (2**27 slots
-is 16 MB of bits); beyond that bound more rows shuffle, and results stay whole.
+The filter is broadcast. It has eight slots a row, up to ``max_slots`` (2**28 slots are 32 MB of
+bits): at two slots a row, 134 million rows, still only one row in fourteen is shuffled
+needlessly. Beyond, more and more rows shuffle, of which ``classes`` sends digests only;
+results stay whole at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, join_groups, whole_rows
+
 SEGMENT_BITS = 18
+MAX_SLOTS = 1 << 28
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -28,8 +33,8 @@ def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def filter_bits(rows: int, max_slots: int) -> int:
-    """log2 of the slots: 16 a row, whole segments, within the bound."""
-    return max(SEGMENT_BITS, min(int(max_slots).bit_length() - 1, int(max(1, rows) * 16 - 1).bit_length()))
+    """log2 of the slots: 8 a row, whole segments, within the bound."""
+    return max(SEGMENT_BITS, min(int(max_slots).bit_length() - 1, int(max(1, rows) * 8 - 1).bit_length()))
 
 
 def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
@@ -78,12 +83,12 @@ def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
     return met.groupBy("segment").applyInArrow(merge, "segment long, twice binary")
 
 
-def flagged(docs: DataFrame, hash_column: str, max_slots: int = 1 << 27) -> DataFrame:
-    """The rows with a boolean ``__maybe``: false only where no other row has this hash."""
-    spark = docs.sparkSession
-    bits = filter_bits(docs.count(), max_slots)
+def possibly_repeated(hashes: DataFrame, max_slots: int = MAX_SLOTS) -> Callable[[Column], Column]:
+    """A test of a hash column: false only where no other row of ``hashes`` (one column) has this hash."""
+    spark = hashes.sparkSession
+    bits = filter_bits(hashes.count(), max_slots)
     marks = np.zeros((1 << bits) // 8, np.uint8)
-    for r in repeated_slots(docs.select(hash_column), bits).toLocalIterator():
+    for r in repeated_slots(hashes, bits).toLocalIterator():
         part = np.frombuffer(r["twice"], np.uint8)
         marks[r["segment"] * len(part) : (r["segment"] + 1) * len(part)] = part
     shared = spark.sparkContext.broadcast(marks.tobytes())
@@ -96,48 +101,46 @@ def flagged(docs: DataFrame, hash_column: str, max_slots: int = 1 << 27) -> Data
             hit = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1
             yield pa.array(hit.all(axis=0))
 
-    return docs.withColumn("__maybe", maybe(F.col(hash_column)))
+    return maybe
 
 
-def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("__hash", F.xxhash64(whole))
+def _whole(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slots: int = 1 << 27) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the
     largest doc_id stays (null ids are smallest); of rows that repeat that id as well, one
     stays. Other columns are not read. An empty table gives no rows.
+
+    Texts are read once: digest, hash and a number of each row are written, and the passes
+    read these. Rows of large groups meet their group by broadcast, whatever their ids are.
+    """
+    digests = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(_whole(text).cast("binary"), 256).alias("text_sha256"), F.xxhash64(_whole(text)).alias("hash"))
+    rows = checkpoint(digests.withColumn("row", F.monotonically_increasing_id()))
+    maybe = possibly_repeated(rows.select("hash"), max_slots)
+    marked = rows.withColumn("maybe", maybe(F.col("hash")))
+    alone = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    more = checkpoint(marked.where("maybe").select("doc_id", "text_sha256", "row"))
+    best = F.max(F.struct("doc_id", "row"))
+    groups = more.groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), best["row"].alias("keep_row"), F.count("*").alias("group_size"))
+    both = join_groups(more, groups, "text_sha256", more.count(), "group_size")
+    return alone.unionByName(both.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
+    """The rows of docs that ``classes`` keeps, with all their columns, whatever their names.
+
+    Of rows that repeat text and id, the one with the largest hash of all columns stays, so
+    reruns agree. Each task sends one row of a text on at most (a limit on the rank before the
+    shuffle), so a group of copies of any size is no load.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(whole.cast("binary"), 256).alias("text_sha256"), F.xxhash64(whole).alias("__hash"))
-    rows = flagged(narrow, "__hash", max_slots).drop("__hash")
-    alone = rows.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    more = rows.where("__maybe").drop("__maybe")
-    groups = more.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # many rows of one digest: dealt by id as well, each salt with a copy of its group
-    salts = 32
-    salted = more.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    copies = groups.withColumn("__salt", F.explode(F.when(F.col("group_size") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
-    sizes = copies.where("__salt >= 0")
-    hot = salted.join(sizes, ["text_sha256", "__salt"])
-    cold = more.join(copies.where("__salt < 0").drop("__salt"), "text_sha256")
-    both = hot.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(cold.select("doc_id", "keep_id", "group_size", "text_sha256"))
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
-    found = both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
-    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slots: int = 1 << 27) -> DataFrame:
-    """The rows of docs that ``classes`` keeps, with all their columns."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    rows = flagged(_prepared(docs, text), "__hash", max_slots).drop("__hash")
-    alone = rows.where(~F.col("__maybe")).drop("__maybe")
-    more = rows.where("__maybe").drop("__maybe").withColumn("__sha", digest)
-    best = more.groupBy("__sha").agg(F.max(doc_id).alias("__keep"))
-    # joined by digest and id, a large group of copies is spread over its ids
-    kept = more.join(best, (more["__sha"] == best["__sha"]) & more[doc_id].eqNullSafe(best["__keep"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__sha", doc_id).orderBy(F.lit(0)))
-    return alone.unionByName(kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__sha"))
+    maybe = possibly_repeated(docs.select(F.xxhash64(_whole(text)).alias("hash")), max_slots)
+    everything = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map" in t else F.col(f"`{c}`") for c, t in docs.dtypes])
+    rows = docs.select(F.col(doc_id).alias("id"), _whole(text).alias("whole"), maybe(F.xxhash64(_whole(text))).alias("maybe"), everything.alias("tie"), whole_rows(docs).alias("row"))
+    alone = rows.where(~F.col("maybe")).select("row.*")
+    more = rows.where("maybe").withColumn("sha", F.sha2(F.col("whole").cast("binary"), 256)).select("sha", "id", "tie", "row")
+    turn = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("id").desc_nulls_last(), F.col("tie").desc()))
+    return alone.unionByName(more.withColumn("turn", turn).where("turn = 1").select("row.*"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, DoubleType
 
-from .common import share
+from .common import resident, share
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -218,15 +218,9 @@ class _Both(dict):
         return super().__getitem__(word) if at is None else at
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(broadcast) -> Scorer:
-    key = broadcast.value[0]
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(broadcast.value[1])
-    return _scorers[key]
+    key, model = broadcast.value
+    return resident(("langid", key), lambda: Scorer(model))
 
 
 def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:

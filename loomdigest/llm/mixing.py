@@ -5,16 +5,16 @@ to t is its target times the share of its weight's integral up to t. A document'
 its source's stream is the words before it; inverting the cumulative demand at that place
 gives the document's training position, and the result is range-sorted by position.
 
-Sums run in buckets of a hash of the id: window partitions hold a bucket of a source, never
+Sums run in buckets of a hash of id and text: window partitions hold a bucket of a source, never
 a whole source, and bucket totals (a bounded table of sources x buckets) are summed in turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, whole_rows
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -52,29 +52,24 @@ def targets(sizes: DataFrame, total_share: float = SHARE, most: float = MOST, we
     return t.select("source", "rank", "weight", "source_size", target.cast("double").alias("target"))
 
 
-def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_share: float = SHARE, most: float = MOST, weights=WEIGHTS, slopes=SLOPES, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, position; and, for
-    schedules, the words before it in its source and the source's slope.
+def _placed(rows: DataFrame, total_share: float, most: float, weights, slopes, bucket_rows: int) -> DataFrame:
+    """rows (doc_id, source, size, h, and what travels with them) with their source's figures, the
+    words before them in it and what the mix takes of them.
 
-    Size counts words (null text: 0). Each document is taken floor(target / source_size)
-    times, and in order of a hash of its id once more while that brings its source nearer
-    its target; ``taken`` is words with repeats. ``position`` is the time of its first use;
-    null if the mix does not take it or it has no words. Null sources form a source of
-    their own, last; null ids are rows like others; rows equal in every column may swap.
-    An empty table gives no rows.
+    Rows are dealt by source and bucket; the place of each follows from its own row alone, so
+    rows that repeat an id, or have none, are placed each for itself.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.lit("mix")).alias("h"))
-    narrow = checkpoint(narrow)
-    per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    t = checkpoint(targets(per.select("source", "source_size"), total_share, most, weights).join(per.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    bits = max(0, int(narrow.count() // bucket_rows).bit_length())
+    sized = checkpoint(rows.select("source", "size", "h"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+    t = checkpoint(targets(per, total_share, most, weights).withColumn("source", key))
+    # a bounded number of buckets; their order is that of the hash, so their number changes nothing
+    bits = min(16, max(0, int(sized.count() // bucket_rows).bit_length()))
     bucket = F.shiftrightunsigned(F.col("h"), 64 - bits) if bits else F.lit(0).cast("long")
-    rows = narrow.withColumn("bucket", bucket).withColumn("source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    t = t.withColumn("source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    totals = sized.select(key.alias("source"), bucket.alias("bucket"), "size").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     in_turn = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("start", F.coalesce(F.sum("words").over(in_turn), F.lit(0))).drop("words")
-    offsets = offsets.join(t, "source")
+    offsets = totals.withColumn("start", F.coalesce(F.sum("words").over(in_turn), F.lit(0))).drop("words").join(t, "source")
+    rows = rows.withColumn("bucket", bucket).withColumn("source", key)
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source", "bucket"])
     at = at.withColumn("before", F.col("start") + F.col("inside"))
@@ -82,14 +77,39 @@ def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rest = F.col("target") - full * F.col("source_size")
     extra = (F.col("before") + F.col("size") / 2 <= rest).cast("long")
     times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(full + extra, F.lit(int(most))))
-    taken = (times * F.col("size")).cast("long")
-    # demand(t) = target * (t + b (t**2 - t) / 2) where b is the slope; solve for demand = before
-    b = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), (F.pmod(F.col("rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
-    u = F.least(F.try_divide(F.col("before").cast("double"), F.col("target")), F.lit(1.0))
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), (F.pmod(F.col("rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
+    return at.withColumn("times", times.cast("long")).withColumn("slope", slope)
+
+
+def _narrow(doc_id: str, text: str, source: str) -> list:
+    own = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")]
+    # rows that repeat an id are apart if their texts are
+    return [*own, F.xxhash64(F.col(doc_id), F.col(text), F.lit("mix")).alias("h")]
+
+
+def _position(turn) -> Column:
+    """The time of a use: demand(t) = target * (t + slope * (t**2 - t) / 2), solved for the words before."""
+    b = F.col("slope")
+    before = (F.col("before") + turn * F.col("source_size")).cast("double")
+    u = F.least(F.try_divide(before, F.col("target")), F.lit(1.0))
     a = 1 - b / 2
-    time = _time(u, a, b)
-    result = at.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, time).alias("position"), "before", b.alias("slope"))
-    return result
+    return F.when(b == 0, u).otherwise(F.try_divide(F.sqrt(a * a + 2 * b * u) - a, b))
+
+
+def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_share: float = SHARE, most: float = MOST, weights=WEIGHTS, slopes=SLOPES, bucket_rows: int = 2_000) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, position; and the words
+    before it in its source and the source's slope.
+
+    Size counts words (null text: 0). Each document is taken floor(target / source_size)
+    times, and in order of a hash of its id and text once more while that brings its source
+    nearer its target; ``taken`` is words with repeats. ``position`` is the time of its first
+    use; null if the mix does not take it or it has no words. Null sources form a source of
+    their own, last; null and repeated ids are rows like others; rows equal in id, text and
+    source may swap. Other columns are not read. An empty table gives no rows.
+    """
+    placed = _placed(docs.select(*_narrow(doc_id, text, source)), total_share, most, weights, slopes, bucket_rows)
+    taken = F.col("times") * F.col("size")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, _position(F.lit(0))).alias("position"), "before", "slope")
 
 
 def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -97,21 +117,16 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     return place(docs, doc_id, text, source, **options).orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_share: float = SHARE, most: float = MOST, weights=WEIGHTS, slopes=SLOPES, bucket_rows: int = 2_000) -> DataFrame:
     """The documents of the mix in training order with all their columns; repeats are rows of their own.
 
-    Documents without words are no part of a mix and stay, once, at the start.
+    Every row of docs is there as often as ``place`` takes it: rows that repeat an id, or have
+    none, each for itself. Documents without words are no part of a mix and stay, once, at the
+    start. Columns may have any name, as rows travel as one struct.
     """
-    placed = place(docs, doc_id, text, source, **options)
-    b = F.col("slope")
-    a = 1 - b / 2
-    where = F.when(F.col("size") == 0, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))), lambda k: _time(F.least(F.try_divide((F.col("before") + (k - 1) * F.col("source_size")).cast("double"), F.col("target")), F.lit(1.0)), a, b)))
-    uses = placed.where("taken > 0 or size = 0").select(F.col("doc_id").alias("__id"), F.explode(where).alias("__at"))
-    # a repeated id joins each of its rows with the uses of one of them
-    uses = uses.groupBy("__id", "__at").agg(F.lit(1).alias("__one")).drop("__one")
-    joined = docs.join(uses, docs[doc_id].eqNullSafe(uses["__id"])).drop("__id")
-    return joined.orderBy("__at", doc_id).drop("__at")
-
-
-def _time(u, a, b):
-    return F.when(b == 0, u).otherwise(F.try_divide(F.sqrt(a * a + 2 * b * u) - a, b))
+    rows = docs.select(*_narrow(doc_id, text, source), whole_rows(docs).alias("row"))
+    placed = _placed(rows, total_share, most, weights, slopes, bucket_rows)
+    turns = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).when(F.col("times") > 0, F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
+    uses = placed.withColumn("turn", F.explode(turns))
+    position = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(_position(F.col("turn")))
+    return uses.select(position.alias("at"), "doc_id", "h", "row").orderBy("at", "doc_id", "h").select("row.*")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 MARK = "▁"
 _UNITS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 
@@ -210,14 +212,11 @@ class PieceCoder:
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
-_coders: dict[str, PieceCoder] = {}
 
 
 def coder(model_file: str) -> PieceCoder:
     """One for each Python worker and model file."""
-    if model_file not in _coders:
-        _coders[model_file] = PieceCoder(model_file)
-    return _coders[model_file]
+    return resident(("pieces", model_file), lambda: PieceCoder(model_file))
 
 
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

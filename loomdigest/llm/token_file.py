@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import checkpoint
+from .common import checkpoint, resident
 
 BLOCK = 4096
 #: Latin-1 letters and then marks: lower-casing is all the normaliser does to these letters, and the
@@ -90,13 +90,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(*key) -> Encoder:
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key[:2], splits=key[2])
-    return _encoders[key]
+def _encoder(file: str, end_id: int, splits: bool) -> Encoder:
+    return resident(("token_file", file, end_id, splits), lambda: Encoder(file, end_id, splits=splits))
 
 
 _SCHEMA = "part int, turn long, doc_id long, n_ids long, crc32 long, payload binary"

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
 from .quality import labelled
 
 WINDOW, STRIDE = 48, 32
@@ -286,9 +287,6 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(best, -30, 30)))).tolist()
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row.
 
@@ -300,10 +298,7 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     @F.arrow_udf("double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key, network = shared.value
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(network)
-        scorer = _scorers[key]
+        scorer = resident(("toxicity", key), lambda: Scorer(network))
         for array in texts:
             got: list[float] = []
             for at in range(0, len(array), 256):

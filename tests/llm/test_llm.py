@@ -80,13 +80,13 @@ def test_simhash_components_match_brute_force(spark):
         assert all((a ^ b).bit_count() <= 4 for a, b in found)
 
         def groups(pairs):
-            forest = simhash._Forest()
+            of = {v: {v} for v in values}
             for a, b in pairs:
-                forest.join(a, b)
-            out = {}
-            for v in values:
-                out.setdefault(forest.root(v), set()).add(v)
-            return sorted(map(sorted, out.values()))
+                if of[a] is not of[b]:
+                    of[a] |= of[b]
+                    for v in of[b]:
+                        of[v] = of[a]
+            return sorted(map(sorted, {id(g): g for g in of.values()}.values()))
 
         assert groups(found) == groups([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
 
