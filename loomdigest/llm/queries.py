@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup, langid, mixing, pieces, quality, simhash, token_file, topk, toxicity, licenses
 from .common import remainder, table
 
-END_ID, WORD_VOCABULARY = 1, 49_408
+END_ID = 1
 
 
 def public(name: str) -> str:
@@ -35,7 +35,7 @@ def vocabulary_pieces(model_file: str) -> list[str]:
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file.fresh_path(spark)
     token_file.write(table(spark, sf_dir, "documents"), path, public("word_bpe_49k.json"), END_ID)
-    return token_file.summary(spark, path, WORD_VOCABULARY)
+    return token_file.summary(spark, path)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

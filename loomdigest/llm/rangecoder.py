@@ -1,10 +1,11 @@
 """An adaptive context-mixing range coder for token ids.
 
-Each block starts afresh. For every id the coder mixes three predictions: the id that last
-followed the two ids before (order 2), the one that last followed the id before (order 1),
-and the frequencies of id classes so far (order 0; a class is 256 neighbouring ids). How far
-the first two are trusted is learned by counts in the context of how often each was right
-lately. The mixed prediction and the id's low byte narrow the range in one step. All
+Three predictions are mixed for every id: how often ids occur (order 0), the id that mostly
+follows the one before (order 1), and the id that last followed the two before (order 2).
+The mixed probability of an id is the sum of what each gives it, weighted; the weights are
+learned as ids go by, in the context of how sure orders 1 and 2 are. Orders 0 and 1 start
+from the prior of a run of blocks, which is written beside them; order 2 and the weights start
+empty. Every block starts afresh from there, so with the prior each decodes by itself. All
 arithmetic is on integers, so blocks decode alike everywhere.
 
 Blocks are coded in lockstep, one lane each, so that numpy does each step for all of them.
@@ -13,181 +14,224 @@ Blocks are coded in lockstep, one lane each, so that numpy does each step for al
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
-#: Parts of the range: 10 bits say which prediction, 10 bits the class, 8 bits the low byte.
-_TOTAL_BITS, _LOW_BITS, _EMIT = 28, 28, 32
-_SLOTS = 1 << 10
-_REBUILD = 64
+#: Weights are in 1024ths; the range is kept above 2**28 and 32 bits leave it at a time.
+_WEIGHT_BITS, _LOW_BITS, _EMIT = 10, 28, 32
+#: Places of a block's order-2 memory, and bits of how often one was right lately.
+_SLOTS, _TRUST = 512, 2
+_RANK_BITS = 24
 _U = np.uint64
-
-
-class _Model:
-    """The predictors of ``lanes`` blocks side by side."""
-
-    def __init__(self, lanes: int, classes: int):
-        if classes > 768:
-            raise ValueError("more ids than the coder's classes hold")
-        self.n, self.classes = lanes, classes
-        self.depth = int(classes).bit_length()  # a lane's frequencies fill 2**depth places
-        lane = np.arange(lanes)
-        self.base1, self.base2 = lane << 9, lane << 10
-        self.after1, self.after2 = np.zeros(lanes << 9, np.int32), np.zeros(lanes << 10, np.int32)  # id, and trust above bit 24
-        self.base = lane << 4
-        self.right2, self.right1 = np.full(lanes << 4, 2000, np.int32), np.full(lanes << 4, 1000, np.int32)  # of 16000
-        self.count = np.ones((lanes, classes), np.int32)
-        self.flat, self.count_base = self.count.reshape(-1), lane * classes
-        self.cum_base = lane << self.depth
-        self.one = self.two = np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self):
-        if self.step % _REBUILD == 0:
-            share = np.float64(1024 - self.classes) / self.count.sum(axis=1, keepdims=True)
-            f = 1 + (self.count * share).astype(np.int32)
-            cum = np.full((self.n, 1 << self.depth), 1 << 20, np.int32)
-            cum[:, 0] = 0
-            np.cumsum(f, axis=1, out=cum[:, 1 : self.classes + 1])
-            cum[:, self.classes] = 1024
-            self.cum = cum.reshape(-1)
-        self.step += 1
-        self.at1 = self.base1 + ((self.one * 0x9E35) >> 3 & 511)
-        self.at2 = self.base2 + ((self.one * 0x9E35 + self.two * 0x6A4B) >> 4 & 1023)
-        e1, e2 = self.after1.take(self.at1), self.after2.take(self.at2)
-        self.guess1, self.guess2 = e1 & 0xFFFFFF, e2 & 0xFFFFFF
-        self.trust1, self.trust2 = e1 >> 24, e2 >> 24
-        self.context = self.base + (self.trust2 << 2) + self.trust1
-        self.p2, self.p1 = self.right2.take(self.context), self.right1.take(self.context)
-        self.f2, self.f1 = 1 + (self.p2 >> 4), 1 + (self.p1 >> 4)
-        self.f21 = self.f2 + self.f1
-        self.f0 = _SLOTS - self.f21
-
-    def narrow(self, ids, byte, c, f):
-        """Where the ids lie in the whole of 2**28, how wide, and what to learn from."""
-        is2, is1 = ids == self.guess2, ids == self.guess1
-        only1 = is1 & ~is2
-        start, wide = (self.f21 << 18) + self.f0 * ((c << 8) + byte * f), self.f0 * f
-        for right, s, w in ((only1, self.f2 << 18, self.f1 << 18), (is2, 0, self.f2 << 18)):
-            np.copyto(start, s, where=right)
-            np.copyto(wide, w, where=right)
-        self.learn(ids, is2, is1, only1)
-        return start.astype(_U), wide.astype(_U)
-
-    def learn(self, ids, is2, is1, only1):
-        self.right2[self.context] = self.p2 + ((is2 * np.int32(16000) - self.p2) >> 4)
-        self.right1[self.context] = self.p1 + ((only1 * np.int32(16000) - self.p1) >> 4)
-        for after, trust, at, right in ((self.after1, self.trust1, self.at1, is1), (self.after2, self.trust2, self.at2, is2)):
-            trust = np.where(right, np.minimum(trust + 1, 3), trust >> 1)
-            after[at] = (trust << 24) | ids
-        at = self.count_base + (ids >> 8)
-        self.flat[at] = self.flat.take(at) + 24
-        self.two, self.one = self.one, ids.astype(np.int64)
-
-
-def encode_blocks(blocks: np.ndarray, vocabulary: int) -> list[bytes]:
-    """Coded bytes of each row of ids."""
-    lanes, width = blocks.shape
-    model = _Model(lanes, (vocabulary + 255) >> 8)
+i32 = np.int32
+
+
+@dataclass
+class Prior:
+    """The ids of a run in order, and by their rank: frequency, follower and how sure it is (0 to 3)."""
+
+    ids: np.ndarray
+    frequency: np.ndarray
+    follower: np.ndarray
+    sure: np.ndarray
+
+    def __post_init__(self):
+        self.bits = _scale(len(self.ids))
+        self.start = np.concatenate([[0], np.cumsum(self.frequency)]).astype(i32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray]:
+        """The prior of these ids, and their ranks."""
+        counts = np.bincount(ids)
+        present = np.flatnonzero(counts)
+        rank = np.zeros(len(counts), i32)
+        rank[present] = np.arange(len(present), dtype=i32)
+        ranks = rank.take(ids)
+        counts = counts[present]
+        whole = 1 << _scale(len(present))
+        frequency = 1 + counts * (whole - len(present)) // max(1, len(ids))
+        if len(present):
+            frequency[counts.argmax()] += whole - frequency.sum()
+        follower, sure = np.zeros(len(present), i32), np.zeros(len(present), i32)
+        if len(ids) > 1:
+            # followers are guessed from up to some million pairs, evenly spaced; a guess costs bits, never ids
+            step = max(1, len(ids) >> 20)
+            before = ranks[:-1:step]
+            pairs, n = np.unique(before.astype(np.int64) << 32 | ranks[1::step], return_counts=True)
+            met = np.bincount(before, minlength=len(present))
+            order = np.lexsort((-n, pairs >> 32))
+            before = (pairs >> 32)[order]
+            first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+            follower[before[first]] = (pairs & 0xFFFFFFFF)[order][first]
+            sure[before[first]] = np.minimum(3, 6 * n[order][first] // met[before[first]])
+        return cls(present.astype(np.int64), frequency.astype(i32), follower, sure), ranks
+
+    def dump(self) -> bytes:
+        columns = (np.diff(self.ids, prepend=0), self.frequency, self.follower, self.sure)
+        return zlib.compress(np.concatenate([np.asarray(c, "<u4") for c in columns]).tobytes())
+
+    @classmethod
+    def load(cls, data: bytes) -> Prior:
+        gaps, frequency, follower, sure = np.frombuffer(zlib.decompress(data), "<u4").reshape(4, -1)
+        return cls(np.cumsum(gaps, dtype=np.int64), frequency.astype(i32), follower.astype(i32), sure.astype(i32))
+
+
+def _scale(ids: int) -> int:
+    """Bits of the frequencies' total: each of so many ids has one at least."""
+    if ids >= 1 << 19:
+        raise ValueError("a run holds more different ids than the coder's range")
+    return max(16, ids.bit_length() + 1)
+
+
+class _Mixer:
+    """What the blocks of ``lanes`` have learned, side by side."""
+
+    def __init__(self, prior: Prior, lanes: int):
+        self.prior, self.bits, self.lanes = prior, prior.bits, lanes
+        lane = np.arange(lanes, dtype=i32)
+        self.memory = np.zeros(lanes * _SLOTS, i32)  # rank of what followed, trust above
+        self.memory_base = lane * i32(_SLOTS)
+        # shares of order 2 and of order 1, each of 2**15, for each trust and sureness
+        self.share2, self.share1 = np.full(lanes * 16, 4000, i32), np.full(lanes * 16, 2000, i32)
+        self.share_base = lane * i32(16)
+        self.total = i32(1 << _WEIGHT_BITS)
+
+    def place(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where order 2 remembers what follows these."""
+        return (((one * i32(0x9E35) + two * i32(0x6A4B)) >> i32(4)) & i32(_SLOTS - 1)) + self.memory_base
+
+    def weigh(self, place: np.ndarray, sure: np.ndarray) -> None:
+        self.at, e = place, self.memory.take(place)
+        self.guess, self.trust = e & i32((1 << _RANK_BITS) - 1), e >> i32(_RANK_BITS)
+        self.context = self.share_base + (self.trust << i32(2)) + sure
+        self.p2, self.p1 = self.share2.take(self.context), self.share1.take(self.context)
+        self.w2, self.w1 = (self.p2 >> i32(6)) + i32(1), (self.p1 >> i32(6)) + i32(1)
+        self.w0 = self.total - self.w2 - self.w1
+
+    def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
+        # shares stay below 30000 and 2**15 - 30000 - 300, so every weight stays positive
+        only1 = right1 & ~right2
+        self.share2[self.context] = self.p2 + ((right2 * i32(30000) - self.p2) >> i32(4))
+        self.share1[self.context] = self.p1 + ((only1 * (i32(32000) - self.p2) - self.p1) >> i32(4))
+        trust = np.where(right2, np.minimum(self.trust + i32(1), i32((1 << _TRUST) - 1)), self.trust >> i32(1))
+        self.memory[self.at] = rank | (trust << i32(_RANK_BITS))
+
+
+def encode_blocks(ranks: np.ndarray, prior: Prior) -> list[bytes]:
+    """Coded bytes of each row of ranks."""
+    lanes, width = ranks.shape
+    mixer, bits = _Mixer(prior, lanes), i32(prior.bits)
+    shift = _U(prior.bits + _WEIGHT_BITS)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
     words = np.zeros((lanes, width + 3), _U)
     used = np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(blocks.T.astype(np.int32))
+    columns = np.ascontiguousarray(ranks.T.astype(i32))
+    one = two = np.zeros(lanes, i32)
     for t in range(width):
-        ids = columns[t]
-        model.predict()
-        at = model.cum_base + (ids >> 8)
-        c = model.cum.take(at)
-        start, wide = model.narrow(ids, ids & 255, c, model.cum.take(at + 1) - c)
-        unit = span >> _U(_TOTAL_BITS)
-        low += unit * start
-        span = unit * wide
+        rank = columns[t]
+        mixer.weigh(mixer.place(one, two), prior.sure.take(one))
+        guess1, guess2, w1, w2 = prior.follower.take(one), mixer.guess, mixer.w1, mixer.w2
+        right1, right2 = guess1 == rank, guess2 == rank
+        start = mixer.w0 * prior.start.take(rank) + ((w2 * (guess2 < rank) + w1 * (guess1 < rank)) << bits)
+        wide = mixer.w0 * prior.frequency.take(rank) + ((w2 * right2 + w1 * right1) << bits)
+        unit = span >> shift
+        low += unit * start.astype(_U)
+        span = unit * wide.astype(_U)
         small = np.flatnonzero(span < _U(1 << _LOW_BITS))
-        if len(small):
+        while len(small):
             part = low.take(small)
             words[small, used[small]] = part >> _U(_LOW_BITS)
             low[small] = (part & _U((1 << _LOW_BITS) - 1)) << _U(_EMIT)
             span[small] <<= _U(_EMIT)
             used[small] += 1
+            small = small[span[small] < _U(1 << _LOW_BITS)]
+        mixer.learn(rank, right2, right1)
+        two, one = one, rank
     rows = np.arange(lanes)
     for _ in range(2):
         words[rows, used] = low >> _U(_LOW_BITS)
         low = (low & _U((1 << _LOW_BITS) - 1)) << _U(_EMIT)
         used += 1
-    for k in range(int(used.max()) - 1, 0, -1):  # carries run towards the front
+    for k in range(int(used.max(initial=1)) - 1, 0, -1):  # carries run towards the front
         words[:, k - 1] += words[:, k] >> _U(32)
     out = words.astype(np.uint32).astype("<u4")
     return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(coded: list[bytes], width: int, vocabulary: int) -> np.ndarray:
-    """The first ``width`` ids of each block."""
+def decode_blocks(coded: list[bytes], width: int, prior: Prior) -> np.ndarray:
+    """The first ``width`` ranks of each block."""
     lanes = len(coded)
-    model = _Model(lanes, (vocabulary + 255) >> 8)
+    mixer, bits = _Mixer(prior, lanes), i32(prior.bits)
+    shift, top = _U(prior.bits + _WEIGHT_BITS), _U((1 << (prior.bits + _WEIGHT_BITS)) - 1)
+    rank_of = np.repeat(np.arange(len(prior.ids), dtype=i32), prior.frequency)
+    last = i32((1 << prior.bits) - 1)
     rows = [np.frombuffer(b, "<u4") for b in coded]
-    words = np.zeros((lanes, max(max(map(len, rows)), width) + 4), _U)
+    words = np.zeros((lanes, max(map(len, rows), default=0) + 4), _U)
     for i, r in enumerate(rows):
         words[i, : len(r)] = r
     # the window is 60 bits wide, so what follows it starts 4 bits before a word's end
     code = (words[:, 0] << _U(28)) | (words[:, 1] >> _U(4))
     words[:, :-1] = ((words[:, :-1] & _U(15)) << _U(28)) | (words[:, 1:] >> _U(4))
+    long = words.shape[1] - 1
     used = np.ones(lanes, np.int64)
     span = np.full(lanes, 1 << 60, _U)
-    out = np.empty((width, lanes), np.int32)
+    out = np.empty((width, lanes), i32)
+    one = two = np.zeros(lanes, i32)
     for t in range(width):
-        model.predict()
-        unit = span >> _U(_TOTAL_BITS)
-        v = np.minimum(code // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
-        slot = v >> 18
-        inner = np.maximum(v - (model.f21 << 18), 0) // model.f0
-        want = np.minimum(inner >> 8, 1023)
-        at = model.cum_base.copy()
-        for bit in range(model.depth - 1, -1, -1):
-            at += (model.cum.take(at + (1 << bit)) <= want) * (1 << bit)
-        c = model.cum.take(at)
-        f = model.cum.take(at + 1) - c
-        byte = np.minimum((inner - (c << 8)) // f, 255)
-        ids = (((at - model.cum_base) << 8) + byte).astype(np.int32)
-        np.copyto(ids, model.guess1, where=slot < model.f21)
-        np.copyto(ids, model.guess2, where=slot < model.f2)
-        out[t] = ids
-        start, wide = model.narrow(ids, byte, c, f)
-        code -= unit * start
-        span = unit * wide
+        mixer.weigh(mixer.place(one, two), prior.sure.take(one))
+        guess1, guess2, w0, w1, w2 = prior.follower.take(one), mixer.guess, mixer.w0, mixer.w1, mixer.w2
+        unit = span >> shift
+        v = np.minimum(code // unit, top).astype(i32)
+        # take away the guesses' own shares, the lower rank's first; what is left lies in order 0
+        second = guess2 < guess1
+        low_share, high_share = np.where(second, w2, w1) << bits, np.where(second, w1, w2) << bits
+        v = np.maximum(np.minimum(v, w0 * prior.start.take(np.minimum(guess1, guess2))), v - low_share)
+        v = np.maximum(np.minimum(v, w0 * prior.start.take(np.maximum(guess1, guess2))), v - high_share)
+        rank = rank_of.take(np.minimum(v // w0, last))
+        out[t] = rank
+        right1, right2 = guess1 == rank, guess2 == rank
+        start = w0 * prior.start.take(rank) + ((w2 * (guess2 < rank) + w1 * (guess1 < rank)) << bits)
+        wide = w0 * prior.frequency.take(rank) + ((w2 * right2 + w1 * right1) << bits)
+        code -= unit * start.astype(_U)
+        span = unit * wide.astype(_U)
         small = np.flatnonzero(span < _U(1 << _LOW_BITS))
-        if len(small):
-            code[small] = (code.take(small) << _U(_EMIT)) | words[small, used[small]]
+        while len(small):
+            # lanes past their block's end may run on, as their ranks are not read
+            code[small] = (code.take(small) << _U(_EMIT)) | words[small, np.minimum(used[small], long)]
             span[small] <<= _U(_EMIT)
             used[small] += 1
+            small = small[span[small] < _U(1 << _LOW_BITS)]
+        mixer.learn(rank, right2, right1)
+        two, one = one, rank
     return out.T
 
 
-def pack(ids: np.ndarray, block: int, vocabulary: int, lanes: int = 2048) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block in turn."""
-    if len(ids) and int(ids.max()) >= vocabulary:
-        raise ValueError("an id is outside the vocabulary")
-    out = []
-    for at in range(0, len(ids), block * lanes):
-        part = ids[at : at + block * lanes]
-        n = -(-len(part) // block)
-        padded = np.zeros((n, block), np.int64)
-        padded.reshape(-1)[: len(part)] = part
-        lengths = np.full(n, block)
-        lengths[-1] = len(part) - block * (n - 1)
-        coded = encode_blocks(padded, vocabulary)
-        out += [(int(k), zlib.crc32(part[i * block : i * block + int(k)].astype("<u4").tobytes()), c) for i, (k, c) in enumerate(zip(lengths, coded, strict=True))]
-    return out
-
-
-def unpack(blocks: list[tuple[int, int, bytes]], vocabulary: int, lanes: int = 2048) -> np.ndarray:
+def pack(ids: np.ndarray, block: int) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    """The prior of a run of ids, and (ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block in turn."""
+    prior, ranks = Prior.of(np.asarray(ids, np.int64))
+    n = -(-len(ids) // block)
+    if not n:
+        return prior.dump(), []
+    padded = np.full((n, block), ranks[-1], i32)
+    padded.reshape(-1)[: len(ids)] = ranks
+    lengths = [*[block] * (n - 1), len(ids) - block * (n - 1)]
+    coded = encode_blocks(padded, prior)
+    plain = np.asarray(ids).astype("<u4")
+    return prior.dump(), [(k, zlib.crc32(plain[i * block : i * block + k].tobytes()), c) for i, (k, c) in enumerate(zip(lengths, coded, strict=True))]
+
+
+def unpack(prior: bytes, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of blocks from ``pack``; a block that fails its checksum raises ValueError."""
+    if not blocks:
+        return np.zeros(0, "<u4")
+    start = Prior.load(prior)
+    ranks = decode_blocks([b[2] for b in blocks], max(b[0] for b in blocks), start)
+    ids = start.ids.astype("<u4")
     out = []
-    for at in range(0, len(blocks), lanes):
-        part = blocks[at : at + lanes]
-        ids = decode_blocks([b[2] for b in part], max(b[0] for b in part), vocabulary)
-        for (n, crc, _), row in zip(part, ids, strict=True):
-            row = row[:n].astype("<u4")
-            if zlib.crc32(row.tobytes()) != crc:
-                raise ValueError("a block does not match its checksum")
-            out.append(row)
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+    for (n, crc, _), row in zip(blocks, ranks, strict=True):
+        row = ids.take(row[:n])
+        if zlib.crc32(row.tobytes()) != crc:
+            raise ValueError("a block does not match its checksum")
+        out.append(row)
+    return np.concatenate(out)
