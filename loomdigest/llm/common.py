@@ -48,22 +48,34 @@ def share(column: Column, rate: float) -> Column:
 HOT_KEYS = 20_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "size", least: int = 200) -> DataFrame:
+def hot_bound(total: int, least: int = 200) -> int:
+    """Rows from which a key is a large one: there are at most ``HOT_KEYS`` such among so many rows."""
+    return max(least, total // HOT_KEYS)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "size", largest: int | None = None) -> DataFrame:
     """rows joined with groups (one row a key, with the number of its rows in column ``size``).
 
     Rows of large groups meet them by broadcast and are not dealt by key, so one key may hold
-    most rows. A large group has over ``least`` rows and over 1 in ``HOT_KEYS`` of the ``total``
-    rows, so there are at most ``HOT_KEYS`` of them. Rows whose key is in no group go.
+    most of the ``total`` rows. Where the caller knows that the ``largest`` group is no large
+    one, the plan is a plain join. Rows whose key is in no group go.
     """
-    if total <= least:
+    bound = hot_bound(total)
+    if min(total, total if largest is None else largest) <= bound:
         return rows.join(groups, key)
-    bound = max(least, total // HOT_KEYS)
     hot = F.broadcast(groups.where(F.col(size) > bound))
     cold = groups.where(F.col(size) <= bound)
     cold_rows = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(cold_rows.join(cold, key))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows at most: a batch lies in memory several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def whole_rows(df: DataFrame) -> Column:
     """All columns as one struct, so that an operator's own columns clash with none of them."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]) if df.columns else F.struct(F.lit(None))

@@ -16,21 +16,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     large components are, meet these by broadcast.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    total = 2 * edges.count()
-    before = None
+    before, total, largest = None, 2 * edges.count(), None
     for _ in range(rounds):
         # large star: larger neighbours move to the smallest of the node and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
-        large = join_groups(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_groups(both.where("v > u"), least, "u", total, largest=largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself move to the smallest neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-        small = join_groups(large, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = join_groups(large, low, "u", total, largest=largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpoint(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        degrees = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        *now, most = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if now == before:
             break
-        before = tuple(now)
+        # a node has links to what it is the smaller of, and in a star of these only few others
+        before, largest = now, 4 * (most or 0)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))

@@ -7,7 +7,8 @@ maximisation fits the probabilities on word counts. A document's score is the pr
 over all its words.
 
 Fitting reads whole texts of at most about ``per_language`` labelled rows a language (a
-documented bound of the sample); scoring covers every word of every text.
+documented bound of the sample) and every word of these; scoring covers every word of every
+text. Words and pieces of any length count.
 """
 
 from __future__ import annotations
@@ -23,24 +24,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, DoubleType
 
-from .common import resident, share
+from .common import resident, share, small_batches
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters between two rescalings of the sums over a word, so that long words don't underflow;
+#: and letters up to which words are fitted without logarithms.
+_RESCALE, _PLAIN = 16, 32
 _SLICE = 512
 
 
 def letter_words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Lower-case runs of letters (what ``str.isalpha`` takes for one: numerals such as a half are none)."""
+    words = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, words)):
+        words = [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return words
+
+
+class Trie:
+    """A trie over letter classes. A piece's first letter is looked up in ``first``; further ones in a
+    table with a row for each node that has children and a column for each class under ``wide``, the
+    classes that follow others in some piece."""
+
+    def __init__(self, words: list[tuple[int, ...]], classes: int):
+        children: list[dict[int, int]] = [{}]
+        self.ends: list[int] = []
+        for word in words:
+            node = 0
+            for c in word:
+                below = children[node].get(c)
+                if below is None:
+                    below = children[node][c] = len(children)
+                    children.append({})
+                node = below
+            self.ends.append(node)
+        self.nodes = len(children)
+        self.first = np.zeros(classes, np.int32)
+        for c, below in children[0].items():
+            self.first[c] = below
+        self.wide = 1 + max((c for row in children[1:] for c in row), default=0)
+        inner = [n for n in range(1, self.nodes) if children[n]]
+        self.row = np.zeros(self.nodes, np.int32)  # row 0 leads nowhere
+        self.table = np.zeros((len(inner) + 1, self.wide + 1), np.int32)
+        for r, n in enumerate(inner, start=1):
+            self.row[n] = r
+            for c, below in children[n].items():
+                self.table[r, c] = below
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Each node's child for a letter class; 0 where there is none."""
+        return self.table[self.row.take(node), np.minimum(letter, self.wide)]
 
 
 @dataclass
 class PieceModel:
-    """``step[node, letter class]`` walks a trie; ``prob[node, language]`` is 0 where no piece ends."""
+    """``prob[node, language]`` is 0 where no piece ends at the trie's node."""
 
     languages: list[str]
     alphabet: dict[str, int]
-    step: np.ndarray
+    trie: Trie
     prob: np.ndarray
     longest: int
 
@@ -48,11 +91,22 @@ class PieceModel:
         """Letter classes in rows, 0 past the end; each word begins with the word mark."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         rows = np.zeros((len(words), int(lengths.max(initial=1))), np.int64)
-        get, other = self.alphabet.get, len(self.alphabet) + 2
+        get, other = self.alphabet.get, len(self.alphabet) + 1
         flat = np.fromiter((get(c, other) for w in words for c in "▁" + w), np.int64, int(lengths.sum()))
         rows[np.arange(rows.shape[1]) < lengths[:, None]] = flat
         return rows, lengths
 
+    def walks(self, rows: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, rows, nodes) of the beginnings of pieces found from a place on."""
+        live = np.arange(len(rows))
+        for j in range(start, min(rows.shape[1], start + self.longest)):
+            node = self.trie.step(node, rows[live, j]) if j > start else self.trie.first.take(rows[:, j])
+            on = np.flatnonzero(node)
+            if not len(on):
+                return
+            live, node = live[on], node[on]
+            yield j + 1, live, node
+
     def forward(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log probability of each word under each language."""
         n, width = rows.shape
@@ -61,19 +115,10 @@ class PieceModel:
         alpha[0] = 1.0
         scale = np.zeros((n, k))
         for i in range(width):
-            if i and i % 16 == 0:  # long words would underflow
-                window = alpha[i : i + self.longest]
-                top = window.max(axis=0)
-                top[top == 0] = 1.0
-                window /= top
-                scale += np.where(lengths[:, None] >= i, np.log(top), 0.0)
-            node = np.zeros(n, np.int64)
-            for j in range(i, min(width, i + self.longest)):
-                node = self.step[node, rows[:, j]]
-                live = np.flatnonzero(node)
-                if not len(live):
-                    break
-                alpha[j + 1, live] += alpha[i, live] * self.prob[node[live]]
+            if i and i % _RESCALE == 0:
+                _rescale(alpha[i : i + self.longest], scale, lengths[:, None] >= i)
+            for end, live, node in self.walks(rows, i):
+                alpha[end, live] += alpha[i, live] * self.prob.take(node, axis=0)
         total = alpha[lengths, np.arange(n)]
         return np.log(np.maximum(total, 1e-300)) + scale
 
@@ -91,51 +136,46 @@ class PieceModel:
         return out
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3, letters: int = 400) -> PieceModel:
-    """Piece probabilities from word counts by language."""
+def _rescale(window: np.ndarray, scale: np.ndarray, counts: np.ndarray) -> None:
+    """Divide what the next places hold by its largest, and note that in the logarithm."""
+    top = window.max(axis=0)
+    top[top == 0] = 1.0
+    window /= top
+    scale += np.where(counts, np.log(top), 0.0)
+
+
+def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3) -> PieceModel:
+    """Piece probabilities from word counts by language.
+
+    The alphabet holds every letter of the pieces and the counted words; all other letters are
+    one class. Pieces that no lower-case word can hold (capitals, digits, marks) are left out.
+    """
     languages = sorted(counts)
-    seen: dict[str, int] = {}
-    for words in counts.values():
-        for word, n in words.items():
-            for c in word:
-                seen[c] = seen.get(c, 0) + n
-    common = sorted(seen, key=lambda c: (-seen[c], c))[:letters]
-    alphabet = {"▁": 1} | {c: i + 2 for i, c in enumerate(common)}
-    other = len(alphabet) + 2
-    usable = sorted({p for p in pieces if len(p) <= 12 and all(c in alphabet for c in p)} | set(alphabet))
-    children: list[dict[int, int]] = [{}]
-    ends: list[int] = []
-    for piece in usable:
-        node = 0
-        for c in piece:
-            nxt = children[node].get(alphabet[c])
-            if nxt is None:
-                nxt = children[node][alphabet[c]] = len(children)
-                children.append({})
-            node = nxt
-        ends.append(node)
-    unknown = len(children)  # any letter outside the alphabet
-    children[0][other] = unknown
-    children.append({})
-    step = np.zeros((len(children), other + 1), np.int32)
-    for node, row in enumerate(children):
-        for c, nxt in row.items():
-            step[node, c] = nxt
-    finals = np.array([*ends, unknown])
-    sizes = np.array([len(p) for p in usable] + [1])
-    prob = np.zeros((len(children), len(languages)))
-    model = PieceModel(languages, alphabet, step, prob, int(sizes.max()))
+    usable = {p for p in pieces if p and p == p.lower() and (p.lstrip("▁") == "" or p.lstrip("▁").isalpha()) and "▁" not in p[1:]}
+    letters = {c for p in usable for c in p} | {c for words in counts.values() for w in words for c in w} | {"▁"}
+    inside = {c for p in usable for c in p[1:]}  # these have the low classes
+    alphabet = {c: i + 1 for i, c in enumerate([*sorted(inside), *sorted(letters - inside)])}
+    usable = sorted(usable | letters)
+    other = len(alphabet) + 1  # any other letter
+    trie = Trie([*(tuple(alphabet[c] for c in p) for p in usable), (other,)], other + 1)
+    finals = np.array(trie.ends)
+    sizes = np.array([*map(len, usable), 1])
+    prob = np.zeros((trie.nodes, len(languages)))
+    model = PieceModel(languages, alphabet, trie, prob, int(sizes.max()))
     for k, language in enumerate(languages):
-        words = sorted((w for w in counts[language] if len(w) <= 40), key=lambda w: (len(w), w))
+        words = sorted(counts[language], key=lambda w: (len(w), w))
         weight = np.array([counts[language][w] for w in words], float)
-        single = PieceModel([language], alphabet, step, np.zeros((len(children), 1)), model.longest)
+        single = PieceModel([language], alphabet, trie, np.zeros((trie.nodes, 1)), model.longest)
         start = np.where(sizes == 1, 1.0, 0.3)
         single.prob[finals, 0] = start / start.sum()
         for _ in range(rounds):
-            expected = np.zeros(len(children))
-            for at in range(0, len(words), 4096):
-                rows, lengths = single.encode(words[at : at + 4096])
-                _expect(single, rows, lengths, weight[at : at + 4096], expected)
+            expected = np.zeros(trie.nodes)
+            at = 0
+            while at < len(words):
+                # words ascend in length, so the last of a batch is its longest
+                size = max(1, min(4096, 400_000 // (len(words[min(at + 4095, len(words) - 1)]) + 8)))
+                _expect(single, *single.encode(words[at : at + size]), weight[at : at + size], expected)
+                at += size
             smooth = expected[finals] + 0.02
             single.prob[finals, 0] = smooth / smooth.sum()
         prob[:, k] = single.prob[:, 0]
@@ -143,27 +183,29 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3, l
 
 
 def _expect(model: PieceModel, rows: np.ndarray, lengths: np.ndarray, weight: np.ndarray, expected: np.ndarray) -> None:
-    """Add the expected piece counts of these words (forward and backward sums)."""
+    """Add the expected piece counts of these words (forward and backward sums; in logarithms where words are long)."""
     n, width = rows.shape
-    p = model.prob[:, 0]
+    if width > _PLAIN:
+        with np.errstate(divide="ignore"):
+            p = np.log(model.prob[:, 0])
+        nothing, one, add, times, out = -np.inf, 0.0, np.logaddexp, np.add, np.exp
+    else:
+        p, nothing, one, add, times, out = model.prob[:, 0], 0.0, 1.0, np.add, np.multiply, lambda x: x
     found = []
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1.0
+    alpha, beta = np.full((width + 1, n), nothing), np.full((width + 1, n), nothing)
+    alpha[0] = one
     for i in range(width):
-        node = np.zeros(n, np.int64)
-        for j in range(i, min(width, i + model.longest)):
-            node = model.step[node, rows[:, j]]
-            live = np.flatnonzero(node)
-            if not len(live):
-                break
-            alpha[j + 1, live] += alpha[i, live] * p[node[live]]
-            found.append((i, j + 1, live, node[live]))
-    beta[lengths, np.arange(n)] = 1.0
-    total = np.maximum(alpha[lengths, np.arange(n)], 1e-300)
+        for end, live, node in model.walks(rows, i):
+            alpha[end, live] = add(alpha[end, live], times(alpha[i, live], p[node]))
+            found.append((i, end, live, node))
+    ends = np.arange(n)
+    beta[lengths, ends] = one
+    total = alpha[lengths, ends]
+    total = -total if width > _PLAIN else 1.0 / np.maximum(total, 1e-300)
     for i, j, live, node in reversed(found):
-        through = p[node] * beta[j, live]
-        beta[i, live] += through
-        expected += np.bincount(node, alpha[i, live] * through / total[live] * weight[live], len(expected))
+        through = times(p[node], beta[j, live])
+        beta[i, live] = add(beta[i, live], through)
+        expected += np.bincount(node, out(times(times(alpha[i, live], through), total[live])) * weight[live], len(expected))
 
 
 class Scorer:
@@ -246,21 +288,20 @@ def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     return chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, pieces: list[str], trains: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 1000, min_count: int = 2) -> PieceModel:
-    """Fit on about ``per_language`` rows a language, chosen by a hash of the id.
+def train(docs: DataFrame, pieces: list[str], trains: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600) -> PieceModel:
+    """Fit on all words of about ``per_language`` rows a language, chosen by a hash of id and text.
 
-    Rows with a null text or language do not train. Words of under ``min_count``
-    occurrences in the sample are left out of the fit, and words over 40 letters.
-    Without any labelled row the model has no language and every prediction is "und".
+    Rows with a null text or language do not train. Without any labelled row the model has no
+    language and every prediction is "und".
     """
     labelled = docs.where(trains & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).cast("string").alias("l")).agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
     for language, n in sizes.items():
-        chosen = chosen | ((F.col(lang) == F.lit(language)) & share(F.col(doc_id), min(1.0, per_language / n)))
+        chosen = chosen | ((F.col(lang) == F.lit(language)) & share(F.xxhash64(doc_id, text), min(1.0, per_language / n)))
     counts: dict[str, dict[str, int]] = {}
     if sizes:
-        for r in word_counts(labelled.where(chosen), text, lang).where(F.col("n") >= min_count).toLocalIterator():
+        for r in word_counts(labelled.where(chosen), text, lang).toLocalIterator():
             counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return fit(counts, pieces)
 
@@ -270,6 +311,7 @@ RESULT = StructType([StructField("lang_pred", StringType()), StructField("score"
 
 def predictor(spark, model: PieceModel):
     """A column function: text to (lang_pred, score)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     @F.arrow_udf(RESULT)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import share, small_batches
 
 _CLASS = np.zeros(256, np.int64)
 for _n, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()", b"!?", b"*#$%&@^~=+_<>{}[]\\/`", b"|"), start=1):
@@ -139,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "qual
 
 def score(docs: DataFrame, model: Discriminant, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row; null texts count as empty. Repeated rows score alike; other columns are not read."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

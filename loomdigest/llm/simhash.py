@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import checkpoint, join_groups, whole_rows
+from .common import checkpoint, join_groups, small_batches, whole_rows
 from .components import components
 
 _PART = 1 << 16
@@ -251,6 +251,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     texts have fingerprint zero, linked like any other. Other columns are not read; an
     empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     fps = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), width).alias("fp")))
     return _classes(fps, radius, blocks, shard)
 
@@ -402,10 +403,11 @@ def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity:
     shards by the least of their shingles' hashes under three mixings each; similar texts miss
     all ``keys`` shards with probability (1 - similarity ** 3) ** keys. A shard is searched
     through BK-trees of fingerprints; sizes and sketches discard what is clearly far. Links
-    left are confirmed by the whole shingle sets, fetched by id. A component with all its
-    links confirmed is settled, as true links are among the candidates; the others are
-    searched once more with whole sets.
+    left are confirmed by the whole shingle sets, fetched by id. Where all links of a component
+    are confirmed it is settled, as true links are among the candidates; the classes that a
+    refuted link joins are searched once more, with whole sets.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = checkpoint(texts.select("id", _prepared(F.col("text"), width, keys).alias("p")).select("id", "p.*"))
     one = F.min(F.struct("id", "fp", "size", "keys", "sketch")).alias("r")
@@ -414,21 +416,24 @@ def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity:
     copies = join_groups(rows.select("same", F.col("id").alias("a")), repeated, "same", rows.count(), "n").where("a <> b").select("a", "b").distinct()
     rows = leading.select("id", F.col("id").alias("root"), "fp", "size", "keys", "sketch")
     found = checkpoint(_candidates(rows, similarity, radius, shard))
-    member = checkpoint(components(found))
-    ids = member.select(F.col("node").alias("id"))
+    if found.isEmpty():
+        return copies
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # one fetch serves the pair checks and the second search; of rows that repeat an id each counts
-    fetched = texts.join(_few(ids), "id", "left_semi").select("id", _whole_set(F.col("text"), width).alias("hashes"))
-    whole = checkpoint(fetched)
+    whole = checkpoint(texts.join(_few(ids), "id", "left_semi").select("id", _whole_set(F.col("text"), width).alias("hashes")))
     sides = (whole.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
     pairs = found.join(next(sides), "a").join(next(sides), "b")
     judged = checkpoint(pairs.select("a", "b", _exact(F.col("a_hashes"), F.col("b_hashes")).alias("s")).groupBy("a", "b").agg((F.max("s") >= similarity).alias("held")))
     confirmed = judged.where("held").select("a", "b")
-    refuted = judged.where("NOT held").select(F.col("a").alias("node"))
+    refuted = judged.where("NOT held")
     if refuted.isEmpty():
         return copies.unionByName(confirmed)
-    again = member.join(member.join(refuted, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("id"))
     settled = components(confirmed).select(F.col("node").alias("id"), F.col("root").alias("settled"))
-    rows = rows.drop("root").join(again, "id").join(settled, "id", "left").join(whole, "id").withColumn("root", F.coalesce("settled", "id")).drop("settled")
+    # links not found yet lie between classes that refuted links join
+    ends = refuted.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    again = _few(ends.join(settled, "id", "left").select(F.coalesce("settled", "id").alias("root")).distinct())
+    rows = rows.drop("root").join(settled, "id", "left").withColumn("root", F.coalesce("settled", "id")).drop("settled")
+    rows = rows.join(again, "root", "left_semi").join(whole, "id")
     return copies.unionByName(confirmed).unionByName(_exact_links(checkpoint(rows), similarity, radius, shard))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import checkpoint, resident
+from .common import checkpoint, resident, small_batches
 
 BLOCK = 4096
 #: Latin-1 letters: lower-casing is all that the normaliser does to these, and the word cut leaves
@@ -126,6 +126,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, doc_
     they are many, else by text. Texts of any length are encoded whole; other columns are not
     read. An empty table writes a file without blocks.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = parts or _parts(docs)
     ordered = narrow.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
@@ -151,20 +152,19 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, doc_
             block += len(blocks)
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(first.columns, got.columns, strict=True)], schema=_ARROW)
 
-        for batch in batches:
-            for piece in _slices(batch):
-                ids, n = encoder(piece.column(1))
-                none = [None] * len(n)
-                yield rows(["documents"], range(turn, turn + len(n)), piece.column(0), n, none, none)
-                turn += len(n)
-                held.append(ids)
-                size += len(ids)
-                if size >= chunk:
-                    data = np.concatenate(held)
-                    whole = len(data) // chunk * chunk
-                    for at in range(0, whole, chunk):
-                        yield run_of(data[at : at + chunk])
-                    held, size = [data[whole:]], len(data) - whole
+        for piece in _slices(batches):
+            ids, n = encoder(piece.column(1))
+            none = [None] * len(n)
+            yield rows(["documents"], range(turn, turn + len(n)), piece.column(0), n, none, none)
+            turn += len(n)
+            held.append(ids)
+            size += len(ids)
+            if size >= chunk:
+                data = np.concatenate(held)
+                whole = len(data) // chunk * chunk
+                for at in range(0, whole, chunk):
+                    yield run_of(data[at : at + chunk])
+                held, size = [data[whole:]], len(data) - whole
         if size:
             yield run_of(np.concatenate(held))
 
@@ -177,15 +177,24 @@ def _parts(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size >> 24))
 
 
-def _slices(batch: pa.RecordBatch, letters: int = 16_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows of about so many bytes of text, at least one row at a time."""
-    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        end = int(np.searchsorted(before, (before[at - 1] if at else 0) + letters, side="right"))
-        end = max(at + 1, end)
-        yield batch.slice(at, end - at)
-        at = end
+def _slices(batches: Iterator[pa.RecordBatch], letters: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes of text, at least one row at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = before[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(before, done + letters - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size += int(before[end - 1] - done)
+            at = end
+            if size >= letters or at < batch.num_rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:

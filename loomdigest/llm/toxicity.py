@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident
+from .common import resident, small_batches
 from .quality import labelled
 
 WINDOW, STRIDE = 48, 32
@@ -293,6 +293,7 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     Null and blank texts are scored as a window of one blank word. Repeated rows score
     alike, an empty table gives no rows, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, net))
 
     @F.arrow_udf("double")
