@@ -6,8 +6,8 @@ vectors. Gated units read a window of words in both directions, attention pools
 states, and a logistic layer scores the window. All overlapping windows of a text are
 scored and the highest gives the text's score.
 
-Fitting reads at most about ``sample`` labelled rows of each class, chosen by a hash of the
-id; each gives its windows of the highest summed log odds.
+Fitting reads whole texts of at most about ``sample`` labelled rows of each class, chosen by a
+hash of the id. Word vectors, letter-pair vectors and gates are learned together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +29,12 @@ from .quality import labelled
 WINDOW, STRIDE = 48, 32
 H, WORD_DIM, PAIR_DIM, PAIRS = 8, 6, 6, 2048
 _TRIM = re.compile(r"^\W+|\W+$")
-_LONG_WORD = 48
 f32 = np.float32
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words; a word over 48 letters comes in parts, so that none is cut off."""
-    words = (text or "").lower().split()
-    if words and max(map(len, words)) > _LONG_WORD:
-        words = [w[i : i + _LONG_WORD] for w in words for i in range(0, len(w), _LONG_WORD)]
-    return words
+    """Lower-case words between blanks, of any length."""
+    return (text or "").lower().split()
 
 
 def windows(n: int) -> list[int]:
@@ -48,6 +44,23 @@ def windows(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
+def letter_pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words' letter pairs, blanks around each word included, and where each word's begin."""
+    spelled = [f" {w} " for w in words]
+    lengths = np.fromiter(map(len, spelled), np.int64, len(words))
+    flat = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    hashed = (flat[:-1] * 1_000_003 + flat[1:] * 7919) % PAIRS
+    ends = np.cumsum(lengths)
+    keep = np.ones(len(hashed), bool)
+    keep[ends[:-1] - 1] = False  # pairs across two words
+    return hashed[keep], ends - lengths - np.arange(len(words))
+
+
+def pair_means(table: np.ndarray, hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    counts = np.diff(starts, append=len(hashed))
+    return np.add.reduceat(table[hashed], starts, axis=0) / counts[:, None].astype(table.dtype)
+
+
 @dataclass
 class Network:
     vocabulary: dict[str, int]
@@ -56,16 +69,8 @@ class Network:
 
     def pair_sums(self, words: list[str]) -> np.ndarray:
         """Mean vector of each word's letter pairs."""
-        spelled = [f" {w} " for w in words]
-        lengths = np.fromiter(map(len, spelled), np.int64, len(words))
-        flat = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        hashed = (flat[:-1] * 1_000_003 + flat[1:] * 7919) % PAIRS
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        # pairs across two words lie at the ends and fall out with the reduce's odd places
-        cuts = np.stack([starts, starts + lengths - 1], axis=1).reshape(-1)
-        values = self.p["pairs"][np.append(hashed, 0)]
-        sums = np.add.reduceat(values, cuts, axis=0)[::2]
-        return sums / (lengths - 1)[:, None]
+        hashed, starts = letter_pairs(words)
+        return pair_means(self.p["pairs"], hashed, starts)
 
     def inputs(self, words: list[str]) -> np.ndarray:
         at = np.fromiter((self.vocabulary.get(_TRIM.sub("", w), 0) for w in words), np.int64, len(words))
@@ -111,82 +116,114 @@ class Network:
         return pooled @ self.p["w"] + self.p["c"][0]
 
 
-def _train(net: Network, gates_in: np.ndarray, real: np.ndarray, y: np.ndarray, word_at: np.ndarray, rounds: int, seed: int) -> None:
-    """Adam on the logistic loss; gradients by hand."""
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Mean logistic loss of windows, its gradients by hand, and those of the inputs."""
+    kind = x.dtype.type
+    m = real.astype(kind)
+    b, width, _ = x.shape
+    grads: dict[str, np.ndarray] = {}
+    trace, states = {}, []
+    for d, seq in (("f", list(range(width))), ("b", list(range(width - 1, -1, -1)))):
+        g = x @ p["W" + d] + p["b" + d]
+        u, h, kept = p["U" + d], np.zeros((b, H), kind), []
+        out = np.zeros((width, b, H), kind)
+        for t in seq:
+            rz = kind(0.5) * (np.tanh(g[:, t, : 2 * H] + h @ u[:, : 2 * H]) + kind(1))
+            r, z = rz[:, :H], rz[:, H:]
+            c = np.tanh(g[:, t, 2 * H :] + (r * h) @ u[:, 2 * H :])
+            zm = z * m[:, t, None]
+            kept.append((t, h, r, z, zm, c))
+            h = h + zm * (c - h)
+            out[t] = h
+        trace[d] = kept
+        states.append(out)
+    both = np.concatenate(states, axis=2)
+    a = np.where(m.T > 0, both @ p["v"], kind(-1e9))
+    a = np.exp(a - a.max(axis=0))
+    a /= a.sum(axis=0)
+    pooled = (both * a[:, :, None]).sum(axis=0)
+    logit = pooled @ p["w"] + p["c"][0]
+    loss = float(np.mean(np.logaddexp(0, logit) - target * logit))
+    err = ((1 / (1 + np.exp(-logit)) - target) / b).astype(kind)
+    grads["w"] = pooled.T @ err
+    grads["c"] = np.array([err.sum()], kind)
+    dpool = err[:, None] * p["w"]
+    da = (both * dpool[None]).sum(axis=2)
+    ds = a * (da - (a * da).sum(axis=0))
+    dboth = a[:, :, None] * dpool[None] + ds[:, :, None] * p["v"]
+    grads["v"] = np.einsum("tb,tbh->h", ds, both)
+    dx = np.zeros_like(x)
+    for k, d in enumerate("fb"):
+        u, dh, dg = p["U" + d], np.zeros((b, H), kind), np.zeros((b, width, 3 * H), kind)
+        du = np.zeros_like(u)
+        for t, h, r, z, zm, c in reversed(trace[d]):
+            dh = dh + dboth[t][:, k * H : (k + 1) * H]
+            dc = dh * zm * (1 - c * c)
+            # a gate is half of one plus a tanh, so its slope is twice g (1 - g)
+            dz = dh * (c - h) * m[:, t, None] * 2 * z * (1 - z)
+            drh = dc @ u[:, 2 * H :].T
+            dr = drh * h * 2 * r * (1 - r)
+            dg[:, t] = np.concatenate([dr, dz, dc], axis=1)
+            du[:, : 2 * H] += h.T @ dg[:, t, : 2 * H]
+            du[:, 2 * H :] += (r * h).T @ dc
+            dh = dh * (1 - zm) + drh * r + dg[:, t, : 2 * H] @ u[:, : 2 * H].T
+        flat = dg.reshape(-1, 3 * H)
+        grads["U" + d] = du
+        grads["W" + d] = x.reshape(-1, x.shape[2]).T @ flat
+        grads["b" + d] = flat.sum(axis=0)
+        dx += (flat @ p["W" + d].T).reshape(dx.shape)
+    return loss, grads, dx * m[:, :, None]
+
+
+def _train(net: Network, spelled: list[str], odds: np.ndarray, known: np.ndarray, choose: Callable[[int], np.ndarray], target: np.ndarray, steps: int, rounds: int, seed: int) -> None:
+    """Adam on the logistic loss: ``rounds`` rounds of ``steps`` batches of 64 windows.
+
+    For each round ``choose`` gives a window of each text: its words as places in ``spelled``
+    (-1 is filling), whose learned vectors are rows ``known`` of the word table. Words and
+    letter pairs learn from what reaches their inputs.
+    """
     p, rng = net.p, np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    n = len(y)
-    for _ in range(rounds):
-        order = rng.permutation(n)
-        for lo in range(0, n, 64):
-            rows = order[lo : lo + 64]
-            step += 1
-            x, m, target = gates_in[rows], real[rows].astype(f32), y[rows]
-            at = word_at[rows]
-            x[:, :, :WORD_DIM] = p["words"][at]
-            b, width, _ = x.shape
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            trace, states = {}, []
-            for d, seq in (("f", list(range(width))), ("b", list(range(width - 1, -1, -1)))):
-                g = x @ p["W" + d] + p["b" + d]
-                u, h, kept = p["U" + d], np.zeros((b, H), f32), []
-                out = np.zeros((width, b, H), f32)
-                for t in seq:
-                    rz = 0.5 * (np.tanh(g[:, t, : 2 * H] + h @ u[:, : 2 * H]) + 1)
-                    r, z = rz[:, :H], rz[:, H:]
-                    c = np.tanh(g[:, t, 2 * H :] + (r * h) @ u[:, 2 * H :])
-                    zm = z * m[:, t, None]
-                    kept.append((t, h, r, z, zm, c))
-                    h = h + zm * (c - h)
-                    out[t] = h
-                trace[d] = kept
-                states.append(out)
-            both = np.concatenate(states, axis=2)
-            a = np.where(m.T > 0, both @ p["v"], -1e9)
-            a = np.exp(a - a.max(axis=0))
-            a /= a.sum(axis=0)
-            pooled = (both * a[:, :, None]).sum(axis=0)
-            logit = pooled @ p["w"] + p["c"][0]
-            err = ((1 / (1 + np.exp(-logit)) - target) / b).astype(f32)
-            grads["w"] = pooled.T @ err
-            grads["c"][0] = err.sum()
-            dpool = err[:, None] * p["w"]
-            da = (both * dpool[None]).sum(axis=2)
-            ds = a * (da - (a * da).sum(axis=0))
-            dboth = a[:, :, None] * dpool[None] + ds[:, :, None] * p["v"]
-            grads["v"] = np.einsum("tb,tbh->h", ds, both)
-            dx = np.zeros_like(x)
-            for k, d in enumerate("fb"):
-                u, dh, dg = p["U" + d], np.zeros((b, H), f32), np.zeros((b, width, 3 * H), f32)
-                for t, h, r, z, zm, c in reversed(trace[d]):
-                    dh = dh + dboth[t][:, k * H : (k + 1) * H]
-                    dc = dh * zm * (1 - c * c)
-                    dz = dh * (c - h) * m[:, t, None] * 2 * z * (1 - z)
-                    drh = dc @ u[:, 2 * H :].T
-                    dr = drh * h * 2 * r * (1 - r)
-                    dg[:, t] = np.concatenate([dr, dz, dc], axis=1)
-                    grads["U" + d][:, : 2 * H] += h.T @ dg[:, t, : 2 * H]
-                    grads["U" + d][:, 2 * H :] += (r * h).T @ dc
-                    dh = dh * (1 - zm) + drh * r + dg[:, t, : 2 * H] @ u[:, : 2 * H].T
-                flat = dg.reshape(-1, 3 * H)
-                grads["W" + d] = x.reshape(-1, x.shape[2]).T @ flat
-                grads["b" + d] = flat.sum(axis=0)
-                dx += (flat @ p["W" + d].T).reshape(dx.shape)
-            np.add.at(grads["words"], at.reshape(-1), (dx[:, :, :WORD_DIM] * m[:, :, None]).reshape(-1, WORD_DIM))
-            for k, grad in grads.items():
-                if k == "pairs":
-                    continue
-                m1, m2 = moments[k]
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.01 * (grad * grad - m2)
-                p[k] -= (0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)).astype(p[k].dtype)
-
-
-def fit(texts: list[str], y: list[int], rounds: int = 3, least_steps: int = 240, seed: int = 7, least: int = 4, hard: int = 2) -> Network:
+    hashed, starts = letter_pairs(spelled)
+    counts = np.diff(starts, append=len(hashed))
+    order: list[int] = []
+    for step in range(1, steps * rounds + 1):
+        if step % steps == 1 or steps == 1:
+            at = choose((step - 1) // steps)
+        if len(order) < min(64, len(target)):
+            order = [*order, *rng.permutation(len(target)).tolist()]
+        rows, order = order[:64], order[64:]
+        places = at[rows]
+        words, within = np.unique(np.maximum(places, 0), return_inverse=True)
+        within = within.reshape(places.shape)
+        size = counts[words]
+        ends = np.cumsum(size)
+        pairs = hashed[np.arange(ends[-1]) + np.repeat(starts[words] - ends + size, size)]
+        vectors = np.concatenate([p["words"][known[words]], odds[words][:, None], pair_means(p["pairs"], pairs, ends - size)], axis=1).astype(f32)
+        real = places >= 0
+        x = vectors[within] * real[:, :, None].astype(f32)
+        real[:, 0] |= ~real.any(axis=1)  # a text without words is a window of one blank
+        _, grads, dx = gradients(p, x, real, target[rows])
+        reached = np.zeros((len(words), x.shape[2]), f32)
+        np.add.at(reached, within[places >= 0], dx[places >= 0])
+        grads["words"], grads["pairs"] = np.zeros_like(p["words"]), np.zeros_like(p["pairs"])
+        np.add.at(grads["words"], known[words], reached[:, :WORD_DIM])
+        np.add.at(grads["pairs"], pairs, np.repeat(reached[:, WORD_DIM + 1 :] / size[:, None].astype(f32), size, axis=0))
+        for k, grad in grads.items():
+            m1, m2 = moments[k]
+            m1 += 0.1 * (grad - m1)
+            m2 += 0.01 * (grad * grad - m2)
+            p[k] -= (0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)).astype(p[k].dtype)
+
+
+def fit(texts: list[str], y: list[int], steps: int = 70, rounds: int = 4, seed: int = 7, least: int = 4, unseen: float = 0.1) -> Network:
     """A network from texts and labels; without both classes it scores everything alike.
 
-    Few windows are gone through more often, up to ``least_steps`` steps of 64 windows.
+    A text scores as its highest window does, so that window is what learns (a text is a bag
+    of windows): in the first round the window of the highest summed log odds, in each later
+    one the window that the network itself, having scored all of them, puts highest. A word of
+    fewer than ``least`` texts shares its vector, and a share ``unseen`` of the windows is read
+    as if all words were such, so that letter pairs learn to tell words that the sample lacks.
     """
     docs = [tokens(t) for t in texts]
     df = (Counter(), Counter())
@@ -210,27 +247,40 @@ def fit(texts: list[str], y: list[int], rounds: int = 3, least_steps: int = 240,
         p["c"][0] = np.log((totals[1] if 1 in y else 0.5) / (totals[0] if 0 in y else 0.5)) if y else 0.0
         p["w"][:] = 0
         return net
-    rows, marks, target, at_rows = [], [], [], []
-    for words, c in zip(docs, y, strict=True):
-        at = np.array([vocabulary.get(_TRIM.sub("", w), 0) for w in words], np.int64)
-        sums = np.concatenate([[0], np.cumsum(odds[at])]) if len(at) else np.zeros(1)
-        ranked = sorted(windows(len(words)), key=lambda s: -(sums[min(len(at), s + WINDOW)] - sums[s]))
-        for s in ranked[: 1 if c else hard]:
-            part = words[s : s + WINDOW]
-            x = np.zeros((WINDOW, d), f32)
-            m = np.zeros(WINDOW, bool)
-            place = np.zeros(WINDOW, np.int64)
-            if part:
-                x[: len(part)] = net.inputs(part)
-                m[: len(part)] = True
-                place[: len(part)] = at[s : s + WINDOW]
-            else:
-                m[0] = True
-            rows.append(x)
-            marks.append(m)
-            target.append(c)
-            at_rows.append(place)
-    _train(net, np.array(rows), np.array(marks), np.array(target, f32), np.array(at_rows), max(rounds, -(-least_steps // -(-len(rows) // 64))), seed)
+    spelled = list(dict.fromkeys(w for words in docs for w in words)) or [""]
+    place = {w: i for i, w in enumerate(spelled)}
+    known = np.array([vocabulary.get(_TRIM.sub("", w), 0) for w in spelled])
+    numbered = [np.array([place[w] for w in words], np.int64) for words in docs]
+    spans = [(n, s) for n, at in enumerate(numbered) for s in windows(len(at))]
+    owner = np.array([n for n, _ in spans])
+    every = np.full((len(spans), WINDOW), -1, np.int32)
+    for row, (n, s) in zip(every, spans, strict=True):
+        part = numbered[n][s : s + WINDOW]
+        row[: len(part)] = part
+    own = odds[known]
+    # a second copy of every word, without a vector and odds of its own
+    twice, none = spelled + spelled, np.zeros_like(known)
+
+    def choose(turn: int) -> np.ndarray:
+        """The highest window of each text."""
+        if turn:
+            gates = np.concatenate([net.projected(spelled), np.concatenate([p["bf"], p["bb"]])[None]])
+            height = np.empty(len(every), f32)
+            for lo in range(0, len(every), 2048):
+                part = every[lo : lo + 2048]
+                real = (part >= 0).astype(f32)
+                real[:, 0] = 1
+                height[lo : lo + 2048] = net.run(gates, part, real)
+        else:
+            height = np.where(every >= 0, own[every], 0).sum(axis=1)
+        order = np.lexsort((-height, owner))
+        top = every[order[np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1]))]]
+        blind = rng.random(len(top)) < unseen
+        return np.where(blind[:, None] & (top >= 0), top + len(spelled), top)
+
+    target = np.array(y, f32)
+    each = max(steps, -(-len(target) // 64))
+    _train(net, twice, np.concatenate([own, np.zeros_like(own)]), np.concatenate([known, none]), choose, target, each, rounds, seed)
     return net
 
 
@@ -247,15 +297,19 @@ class Scorer:
     def __init__(self, net: Network, remember: int = 250_000):
         self.net, self.remember = net, remember
         self.row: dict[str, int] = {}
-        self.gates = np.zeros((0, 6 * H), f32)
+        self.gates = np.zeros((4096, 6 * H), f32)  # rows of the remembered words, and behind them those of a batch
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         docs = [tokens(t) for t in texts]
-        row, base = self.row, len(self.gates)
-        new = list(dict.fromkeys(w for words in docs for w in words if w not in row))
+        row, base = self.row, len(self.row)
+        new = sorted(dict.fromkeys(w for words in docs for w in words if w not in row), key=lambda w: len(w) > 64)
         fresh = {w: base + i for i, w in enumerate(new)}
         blank = base + len(new)
-        gates = np.concatenate([self.gates, *([self.net.projected(new)] if new else []), np.zeros((1, 6 * H), f32)])
+        if blank >= len(self.gates):
+            self.gates = np.concatenate([self.gates[:base], np.zeros((2 * blank - base + 1, 6 * H), f32)])
+        gates = self.gates
+        for lo in range(0, len(new), 8192):
+            gates[base + lo : base + lo + 8192][: len(new) - lo] = self.net.projected(new[lo : lo + 8192])
         gates[blank] = np.concatenate([self.net.p["bf"], self.net.p["bb"]])
         best = np.full(len(docs), -np.inf)
         full, owner, short = [], [], []
@@ -280,18 +334,17 @@ class Scorer:
                 at[i, : len(ids)] = ids
                 real[i, : max(1, len(ids))] = 1
             best[[s[0] for s in part]] = self.net.run(gates, at, real)
-        room = self.remember - len(row)
-        if room > 0:
-            row.update((w, base + i) for i, w in enumerate(new[:room]))
-            self.gates = gates[: base + min(room, len(new))].copy()
+        kept = new[: max(0, self.remember - base)]
+        row.update((w, base + i) for i, w in enumerate(kept) if len(w) <= 64)  # long words are rare, and last
         return (1 / (1 + np.exp(-np.clip(best, -30, 30)))).tolist()
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row.
 
-    Null and blank texts are scored as a window of one blank word. Repeated rows score
-    alike, an empty table gives no rows, other columns are not read.
+    Null and blank texts are scored as a window of one blank word. Texts and words of any
+    length are read whole. Repeated rows score alike, an empty table gives no rows, other
+    columns are not read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, net))
