@@ -1,9 +1,11 @@
 """Whole texts that are a known licence, found by the digest of their canonical form.
 
-Canonical: A-Z lowered, lines that begin with a copyright mark dropped, equivalent spellings made one, punctuation
-and white space runs made one blank. Null and empty texts match nothing; tied rows each get their
-match; an empty table gives no rows. Columns of functions only; the catalogue is broadcast, as it
-holds some twenty texts given as literals. SQL knows only the two of KNOWN.
+Canonical: A-Z lowered, copyright notices and titles dropped, equivalent spellings made one,
+punctuation and white space runs made one blank. Null and empty texts match nothing; tied rows
+each get their match; rows of any column names are read for doc_id and text alone; an empty
+table gives no rows. Columns of functions only. The catalogue is the bundled texts, broadcast
+as digests and names: some tens of rows, as it is part of the program. SQL knows only the two
+of KNOWN.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ KNOWN = {
 CATALOGUE = [*KNOWN.items(), *((p.stem.split("@")[0], p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))]
 # Spellings that mean the same.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("https:", "http:"), ("and/or", "and"), ("merchantibility", "merchantability"))
+# More of these, for the form that licences are told by.
+MORE_SPELLINGS = (("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("emphasis", "emphasiz"), ("favour", "favor"), ("fulfill", "fulfil"), ("initialis", "initializ"), ("judgement", "judgment"), ("labour", "labor"), ("maximis", "maximiz"), ("non-commercial", "noncommercial"), ("offence", "offense"), ("optimis", "optimiz"), ("organis", "organiz"), ("per cent", "percent"), ("programme", "program"), ("realis", "realiz"), ("recognis", "recogniz"), ("sub license", "sublicense"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"))
 _NOTICE, _MARKS = "(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$", "[\\x00-/:-@\\[-`{-\\x7f\\x{2018}\\x{2019}\\x{201c}\\x{201d}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -35,18 +39,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, _MARKS, " "))
 
 
+#: Punctuation also of other alphabets, and every blank; only the form that licences are told by uses it.
+_WIDE_MARKS = "(?:[\\x00-/:-@\\[-`{-\\x7f]|[\\p{P}\\p{Z}])+"
 # A notice names a year, mark or holder; on one long line it ends where a licence's text begins.
 _BODY = "not|notices?|holders?|owners?|law|laws|and|or|licen[cs]es?|licensed|statements?|interests?|in|to|of|on|by|for|is|the|as|permission|treaty|resulting|disclaimer"
 _STARTS = "permission (?:is hereby granted|to use)|redistribution and use|this software is provided|everyone is permitted|$"
 _NOTICE_ONLY = f"(?m)^[ \\t]*(?:(?:\\(c\\)|©)[ \\t]*(?:copyright|[0-9]{{4}})|copyright(?![ \\t]+(?:{_BODY})\\b)[ \\t:]+[^ \\t\\n])[^\\n]*?(?={_STARTS})"
 
 
+# Titles that files put before a licence, in canonical form, and how the texts behind them begin.
+_TITLE = "^(?:the )?(?:isc|mit|x11|zlib|0bsd|bsd zero clause|zero clause bsd|bsd [0-9] clause|[0-9] clause bsd|(?:(?:new|modified|revised|simplified|freebsd) )?bsd)(?: (?:new|original|old) or (?:new|revised|original|old))?(?: license)?(?: (?:mit|isc|bsd|x11|0bsd))? (?=permission |redistribution and use |this software is provided )"
+
+
 def matched(text: Column) -> Column:
-    """The canonical form that licences are told by: lines of the body that begin with 'copyright' stay."""
-    x = F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), _NOTICE_ONLY, "")
-    for other, one in SPELLINGS:
+    """The canonical form that licences are told by.
+
+    Lines of the body that begin with 'copyright' stay. A title line before the text goes, as
+    do lines of which "all rights reserved" is all that a notice leaves.
+    """
+    x = F.translate(text, _UPPER, _UPPER.lower())
+    x = F.regexp_replace(x, _NOTICE_ONLY, "")
+    x = F.regexp_replace(x, "(?m)^[ \\t]*all rights reserved\\.?[ \\t]*\\r?$", "")
+    for other, one in SPELLINGS + MORE_SPELLINGS:
         x = F.replace(x, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(x, _MARKS, " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(x, _WIDE_MARKS, " ")), _TITLE, "")
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ Vectors are floored to integers. Candidates lie in blocks of neighbouring ids, e
 forward index (the vectors) and, for each term (component), its largest and smallest value.
 A query's bound in a block sums, over its terms, the larger of its two products. For each
 query the blocks of a shard are taken in descending order of bound and scored until the
-bound falls below the k-th best score. Shards meet blocks of queries in tasks of bounded
-size, and the shards' k best are merged.
+bound falls below the k-th best score. Queries come by at every shard in batches, and the
+shards' k best are merged.
 """
 
 from __future__ import annotations
@@ -35,10 +35,14 @@ def _matrix(vectors: list[list[float]], width: int) -> np.ndarray:
     return out
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in the shard; ties go to smaller ids."""
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int, rows: np.ndarray | None = None, query_rows: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query, vector, score) of each query's k best in the shard; ties go to smaller ids.
+
+    A query's own row is none of its candidates: by its number in ``rows``, or else by its id.
+    """
+    rows, query_rows = (ids, query_ids) if rows is None else (rows, query_rows)
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, rows = ids[order], vectors[order], rows[order]
     # sums of products stay exact in doubles; beyond, Python's integers are used
     exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * vectors.shape[1] < 2**52
     if not exact:
@@ -63,9 +67,9 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             mine = live[block_of == b]
             a = starts[b]
             scores = queries[mine] @ vectors[a : a + block].T
-            own = ids[a : a + block]
+            own, own_rows = ids[a : a + block], rows[a : a + block]
             for q, row in zip(mine, scores, strict=True):
-                fit = own != query_ids[q]
+                fit = own_rows != query_rows[q]
                 if len(best_id[q]) >= k:
                     fit &= row >= best_score[q][-1]
                 at = np.flatnonzero(fit)
@@ -77,35 +81,72 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return [(int(query_ids[q]), int(i), max(-_LONG - 1, min(_LONG, int(s)))) for q in range(len(queries)) for s, i in zip(best_score[q], best_id[q], strict=True)]
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = 256, shard: int = 32_768, queries: int = 2_048) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = 256, shard: int = 65_536, queries: int = 2_048) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each query row.
 
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite
     component, and null ids, take no part; missing components of a shorter vector are zero.
-    Rows that repeat an id are candidates each, though never for queries of that id; a
-    repeated query counts once, by the first in order of its components. Scores beyond a long
-    stop at its ends.
+    Rows that repeat an id are candidates each, also for another row of that id; a repeated
+    query id counts once, by the first of its rows in order of components. Scores beyond a
+    long stop at its ends. An empty table gives no rows; other columns are not read.
+
+    Every candidate is sent once, to its shard; every query is sent to all shards, where it
+    comes by in batches of ``queries`` behind the candidates. A shard and a batch are all that
+    a task holds.
     """
     x = F.col(vector)
     sound = x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    usable = rows.where(sound).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v.cast("double") * scale)).alias("v"), is_query.alias("q"))
-    n = usable.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("w")).first()
-    shards, groups, width = max(1, -(-n["n"] // shard)), max(1, -(-n["q"] // queries)), max(1, n["w"] or 1)
-    # neighbouring ids share a shard; hashing within an id spreads one repeated id
-    placed = usable.repartitionByRange(shards, "vec_id", F.xxhash64("v")).withColumn("shard", F.spark_partition_id())
-    placed = checkpoint(placed)
-    first = F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))
-    asked = placed.where("q").withColumn("turn", first).where("turn = 1").select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"))
-    left = placed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"), "group", F.col("vec_id"), F.col("v"))
-
-    def search(key, candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        found = []
-        if candidates.num_rows and wanted.num_rows:
-            parts = [(t.column("vec_id").to_numpy(), _matrix(t.column("v").to_pylist(), width)) for t in (candidates, wanted)]
-            found = search_shard(*parts[0], *parts[1], k, block)
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ((), (), ()))], names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(search, "query_id long, vec_id long, score long")
+    usable = rows.where(sound).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v.cast("double") * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    # a row's number tells it from others of its id; written, so that it stays
+    usable = checkpoint(usable.withColumn("row", F.monotonically_increasing_id()))
+    n = usable.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+    shards, width = max(1, -(-n["n"] // shard)), max(1, n["w"] or 1)
+    first = F.row_number().over(Window.partitionBy("vec_id").orderBy("v", "row"))
+    asked = usable.where("q").withColumn("turn", first).where("turn = 1").select("vec_id", "v", "row")
+    # neighbouring rows share a shard, whatever their ids are
+    placed = usable.select(F.pmod(F.xxhash64(F.shiftright("row", 8)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "v", "row")
+    everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v", "row")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held, waiting = None, [], None, 0
+
+        def columns(tables: list[pa.Table]) -> tuple:
+            t = pa.concat_tables(tables)
+            return t.column("vec_id").to_numpy(), _matrix(t.column("v").to_pylist(), width), t.column("row").to_numpy()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held is None or not parts:
+                return
+            (ids, vectors, own), (query_ids, wanted, query_rows) = held, columns(parts)
+            hits = search_shard(ids, vectors, query_ids, wanted, k, block, own, query_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*hits, strict=True) if hits else ((), (), ()))], ["query_id", "vec_id", "score"])
+
+        # rows come by shard, the candidates of each before its queries
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = table.column("shard").to_numpy() * 2 + table.column("asks").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if key[lo] != at:
+                    if at is not None and at % 2:
+                        yield from found()
+                        held = None
+                    elif parts:
+                        held = columns(parts)
+                    parts, waiting, at = [], 0, int(key[lo])
+                    if not at % 2:
+                        held = None
+                parts.append(table.slice(lo, hi - lo))
+                waiting += hi - lo
+                if at % 2 and waiting >= queries:
+                    yield from found()
+                    parts, waiting = [], 0
+        if at is not None and at % 2:
+            yield from found()
+
+    dealt = placed.unionByName(everywhere).repartition("shard").sortWithinPartitions("shard", "asks")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+    return hits.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -126,6 +126,29 @@ def test_top_k_ties_and_unusable(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (50, 1, 7, -32768), (50, 2, 0, -65536)]
 
 
+def test_top_k_equals_brute_force(spark):
+    """Many shards and batches, repeated ids, ties, short and empty vectors; columns with clashing names."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-3, 4, int(rng.integers(0, 5))).astype(float).tolist(), int(i) % 7) for i in rng.integers(0, 120, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int").repartition(7)
+    whole = [(i, [256 * int(x) for x in v]) for i, v, _ in rows]
+
+    def dot(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=False))
+
+    want = []
+    for q in sorted({i for i, _ in whole if i % 3 == 0}):
+        own = min(v for i, v in whole if i == q)
+        others = list(whole)
+        others.remove((q, own))
+        best = sorted((-dot(own, v), i) for i, v in others)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for shard in (20, 1000):
+        got = topk.top_k(df, F.col("vec_id") % 3 == 0, 4, block=4, shard=shard, queries=5).collect()
+        assert sorted(map(tuple, got)) == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
+
+
 def test_classifiers_on_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = langid.train(docs, queries.vocabulary_pieces(queries.public("piece_bpe_32k.model")), remainder(F.col("doc_id"), 5) != 0)
