@@ -43,6 +43,21 @@ class Strategy(NamedTuple):
     below: float | None = None
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A caller's own rule of the profile ``rules``: ``make(task)`` gives a text, or None to pass.
+
+    Rules are asked by ascending priority, those of one priority in the order added and after
+    the engine's own. It runs on executors, so it must be picklable.
+    """
+
+    name: str
+    priority: int
+    categories: tuple[str, ...]
+    make: Callable[[Task], str | None]
+    description: str = ""
+
+
 class Result(NamedTuple):
     content: str
     tokens: int
@@ -66,7 +81,10 @@ def _asked(instruction: str, factor: float, share: float, header: str) -> Callab
     def make(t: Task) -> str | None:
         if t.summarize is None or t.before <= t.budget * factor:
             return None
-        return header + t.summarize(t.content, instruction, nearest(t.budget * share))
+        summary = t.summarize(t.content, instruction, nearest(t.budget * share))
+        if not (isinstance(summary, str) and summary.strip()):
+            raise ValueError("the summarizer gave no text")
+        return header + summary
 
     return make
 
@@ -174,6 +192,21 @@ STRATEGIES: dict[str, dict[str, tuple[Strategy, ...]]] = {
 }
 
 
+#: Priorities of the engine's own rules, by how their names begin; others have the last.
+PRIORITIES = (("domain-aware", 4), ("repetition-elimination", 5), ("error-extraction", 8), ("", 10))
+
+
+def priority(name: str) -> int:
+    return next(p for begin, p in PRIORITIES if name.startswith(begin))
+
+
+def with_rules(strategies: tuple[Strategy, ...], own: tuple[Rule, ...], category: str) -> tuple[Strategy, ...]:
+    """The engine's strategies and the caller's rules for a category, by priority."""
+    ranked = [(priority(s.name), s) for s in strategies]
+    ranked += [(r.priority, Strategy(r.name, r.make)) for r in own if category in r.categories]
+    return tuple(s for _, s in sorted(ranked, key=lambda r: r[0]))
+
+
 def _run(strategies: tuple[Strategy, ...], task: Task, failed: list[str] | None = None) -> Result | None:
     """The first strategy with a text that gains enough; one that raises is named in ``failed`` and passed over."""
     for s in strategies:
@@ -197,8 +230,8 @@ def _smart(subtype: str) -> Iterator[Strategy]:
         yield Strategy("smart/api-response", lambda t: J.smart_summary(t.content, t.budget), 1.0)
 
 
-def compact(content: str, category: str, config: Config, profile: str = "sync", summarize: Callable[[str, str, int], str] | None = None, preserve: tuple[re.Pattern[str], ...] = (), failed: list[str] | None = None) -> Result | None:
-    """The compacted message, or None where it stays. Preserve patterns count in the profile ``rules`` only."""
+def compact(content: str, category: str, config: Config, profile: str = "sync", summarize: Callable[[str, str, int], str] | None = None, preserve: tuple[re.Pattern[str], ...] = (), failed: list[str] | None = None, own: tuple[Rule, ...] = ()) -> Result | None:
+    """The compacted message, or None where it stays. Preserve patterns and the caller's own rules count in the profile ``rules`` only."""
     base = limit(category, config)
     if base is None or not config.enabled or (profile == "rules" and any_match(preserve, content)):
         return None
@@ -206,6 +239,7 @@ def compact(content: str, category: str, config: Config, profile: str = "sync",
     budget, before = base, tokens(content)
     if profile == "rules":
         budget = config.file_content_max_tokens if category == "file_content" else config.tool_output_max_tokens
+        strategies = with_rules(strategies, own, category) if own else strategies
     elif category == "tool_output" and before > base * 0.6:
         found = analyze(content)
         base = budget = nearest(base * found.multiplier)

@@ -42,13 +42,19 @@ class Engine:
     config: Config = field(default_factory=Config)
     profile: str = "sync"
     summarize: Callable[[str, str, int], str] | None = None
+    own: tuple[dispatch.Rule, ...] = ()
+
+    def add_rule(self, rule: dispatch.Rule) -> Engine:
+        """An engine that also asks this rule, by its priority, in the profile ``rules``."""
+        return replace(self, own=(*self.own, rule))
 
     def configured(self, **changes: object) -> Engine:
         return replace(self, config=configure(self.config, **changes))
 
     def rules(self) -> list[tuple[str, str]]:
         """(category, rule) in the order tried."""
-        return [(c, s.name) for c, found in dispatch.STRATEGIES[self.profile].items() for s in found]
+        own = self.own if self.profile == "rules" else ()
+        return [(c, s.name) for c, found in dispatch.STRATEGIES[self.profile].items() for s in dispatch.with_rules(found, own, c)]
 
     def _least(self, kind: Column) -> Column:
         """Tokens up to which no rule of the profile looks at a category."""
@@ -61,7 +67,7 @@ class Engine:
         """The messages with ``category`` and ``result``: distilled, content, tokens_before,
         tokens_after, rule, ratio, failed (rules that raised and were passed over). Needs ``content``;
         ``tool_name`` and ``category`` are used where given. Null content stays null, with 0 tokens."""
-        config, profile, summarize = self.config, self.profile, self.summarize
+        config, profile, summarize, own = self.config, self.profile, self.summarize, self.own
         preserve = tuple(map(re.compile, config.preserve_patterns))
 
         @F.pandas_udf(COMPACTED)
@@ -70,7 +76,7 @@ class Engine:
                 rows = []
                 for content, kind in zip(contents, kinds):
                     failed: list[str] = []
-                    found = dispatch.compact(content, kind, config, profile, summarize, preserve, failed) if content is not None else None
+                    found = dispatch.compact(content, kind, config, profile, summarize, preserve, failed, own) if content is not None else None
                     rows.append((*(found or (None, None, None)), failed or None))
                 out = pd.DataFrame(rows, columns=["content", "tokens", "rule", "failed"])
                 yield out.astype({"tokens": "Int64"})

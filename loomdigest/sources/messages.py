@@ -37,6 +37,38 @@ def facts(results: DataFrame, batch: int = 0) -> DataFrame:
     return hits.select(F.lit(batch).cast("long").alias("batch"), F.col("msg_id").cast("long").alias("msg_id"), "result.rule", "result.tokens_before", "result.tokens_after", F.col("result.ratio").alias("ratio"), at.alias("at"))
 
 
+RUNS = "kind string, at timestamp"
+
+
+def record_run(spark: SparkSession, path: str, kind: str = "load") -> None:
+    """Note a start of the engine, or with ``reset`` that lifetime figures begin anew."""
+    if kind not in ("load", "reset"):
+        raise ValueError("a run is a load or a reset")
+    spark.range(1).select(F.lit(kind).alias("kind"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(RUNS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RUNS)
+
+
+def loads(runs: DataFrame) -> int:
+    """Starts of the engine; resets leave them as they are."""
+    return runs.where("kind = 'load'").count()
+
+
+def since_reset(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """The facts after the last reset; the facts themselves stay written."""
+    last = runs.where("kind = 'reset'").agg(F.max("at")).first()[0]
+    return found if last is None else found.where(F.col("at") > F.lit(last))
+
+
 def lifetime(found: DataFrame) -> DataFrame:
     """One row: distillations, tokens saved, first and last time."""
     return found.agg(F.count("*").alias("distillations"), F.coalesce(F.sum(F.col("tokens_before") - F.col("tokens_after")), F.lit(0)).alias("saved"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
