@@ -288,7 +288,7 @@ def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     return chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, pieces: list[str], trains: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 600) -> PieceModel:
+def train(docs: DataFrame, pieces: list[str], trains: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 400) -> PieceModel:
     """Fit on all words of about ``per_language`` rows a language, chosen by a hash of id and text.
 
     Rows with a null text or language do not train. Without any labelled row the model has no

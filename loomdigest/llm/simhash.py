@@ -127,7 +127,7 @@ def links(values: DataFrame, radius: int = 4, blocks: int | None = None, shard:
         rows = keyed.join(hot, "cell", "left_semi").select("fp", sub.alias("n"))
         keyed = rows.select("fp", "n", F.xxhash64("n", F.col("fp").bitwiseAND(F.element_at(signed, F.col("n") + 1))).alias("cell"))
     rest = _linked(keyed, radius, shard)
-    return (rest if found is None else found.unionByName(rest)).distinct()
+    return rest if found is None else found.unionByName(rest)
 
 
 def _linked(keyed: DataFrame, radius: int, shard: int) -> DataFrame:
@@ -219,7 +219,7 @@ def search(keyed: DataFrame, find: Callable, shard: int) -> DataFrame:
     hot = _large(keyed, shard)
     side = lambda n: F.lit(n).alias("side")
     if hot.isEmpty():
-        return _in_shards(keyed.select("*", side(BOTH)), find).select("a", "b").distinct()
+        return _in_shards(keyed.select("*", side(BOTH)), find).select("a", "b")
     columns = [c for c in keyed.columns if c != "cell"]
     at = lambda tree: F.xxhash64("cell", tree).alias("cell")
     small = keyed.join(hot, "cell", "left_anti").select("cell", *columns, side(BOTH))
@@ -234,13 +234,13 @@ def search(keyed: DataFrame, find: Callable, shard: int) -> DataFrame:
     counts = now.groupBy("cell", "root").agg(F.count("*").alias("n"))
     main = _few(counts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes"))
     if main.isEmpty():
-        return found.select("a", "b").distinct()
+        return found.select("a", "b")
     still = now.join(main, "cell")
     there = still.select(at(F.col("mine")), *columns, side(TREE))
     outside = still.where("root <> main").withColumn("to", F.explode(F.expr("sequence(0, trees - 1)"))).where("`to` <> mine")
     outside = outside.select(at(F.col("to")), *columns, side(ASKS))
     more = _in_shards(there.unionByName(outside), find)
-    return found.select("a", "b").unionByName(more.select("a", "b")).distinct()
+    return found.select("a", "b").unionByName(more.select("a", "b"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4, blocks: int | None = None, shard: int = 4096) -> DataFrame:
@@ -413,7 +413,7 @@ def near_links(docs: DataFrame, doc_id: str, text: str, width: int, similarity:
     one = F.min(F.struct("id", "fp", "size", "keys", "sketch")).alias("r")
     leading = checkpoint(rows.groupBy("same").agg(one, F.count("*").alias("rows")).select("same", "rows", "r.*"))
     repeated = leading.where("rows > 1").select("same", F.col("id").alias("b"), F.col("rows").alias("n"))
-    copies = join_groups(rows.select("same", F.col("id").alias("a")), repeated, "same", rows.count(), "n").where("a <> b").select("a", "b").distinct()
+    copies = join_groups(rows.select("same", F.col("id").alias("a")), repeated, "same", rows.count(), "n").where("a <> b").select("a", "b")
     rows = leading.select("id", F.col("id").alias("root"), "fp", "size", "keys", "sketch")
     found = checkpoint(_candidates(rows, similarity, radius, shard))
     if found.isEmpty():
