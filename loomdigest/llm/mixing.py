@@ -65,7 +65,7 @@ def _placed(rows: DataFrame, total_share: float, most: float, weights, slopes, b
     t = checkpoint(targets(per, total_share, most, weights).withColumn("source", key))
     # a bounded number of buckets; their order is that of the hash, so their number changes nothing
     bits = min(16, max(0, int(sized.count() // bucket_rows).bit_length()))
-    bucket = F.shiftrightunsigned(F.col("h"), 64 - bits) if bits else F.lit(0).cast("long")
+    bucket = F.shiftright(F.conv(F.substring("h", 1, 4), 16, 10).cast("long"), 16 - bits)
     totals = sized.select(key.alias("source"), bucket.alias("bucket"), "size").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     in_turn = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("start", F.coalesce(F.sum("words").over(in_turn), F.lit(0))).drop("words").join(t, "source")
@@ -83,8 +83,9 @@ def _placed(rows: DataFrame, total_share: float, most: float, weights, slopes, b
 
 def _narrow(doc_id: str, text: str, source: str) -> list:
     own = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")]
-    # rows that repeat an id are apart if their texts are
-    return [*own, F.xxhash64(F.col(doc_id), F.col(text), F.lit("mix")).alias("h")]
+    # rows that repeat an id are apart if their texts are; SQL has this hash too
+    whole = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
+    return [*own, F.md5(whole.cast("binary")).alias("h")]
 
 
 def _position(turn) -> Column:
@@ -130,3 +131,34 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     uses = placed.withColumn("turn", F.explode(turns))
     position = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(_position(F.col("turn")))
     return uses.select(position.alias("at"), "doc_id", "h", "row").orderBy("at", "doc_id", "h").select("row.*")
+
+
+def _nth(values) -> str:
+    return f"[{', '.join(str(float(x)) for x in values)}][((rank - 1) % {len(values)}) + 1]"
+
+
+#: The same as ``schedule`` with its defaults: doc_id, size, source_size, target, taken, position.
+SQL = f"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+            md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h FROM documents),
+        per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM per),
+        weighed AS (SELECT *, {_nth(WEIGHTS)} AS weight, {_nth(SLOPES)} AS b, source_size * {MOST}::DOUBLE AS most FROM ranked),
+        filled AS (SELECT *, (sum(source_size) OVER ()) * {SHARE}::DOUBLE - coalesce(sum(most) OVER (
+                    ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS remaining,
+                sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+            FROM weighed),
+        levels AS (SELECT *, remaining / weights AS rate, (remaining / weights) * weight >= most AS stopped FROM filled),
+        level AS (SELECT rate AS level FROM levels WHERE NOT stopped ORDER BY source_size / weight, rank LIMIT 1),
+        t AS (SELECT source, source_size, b, 1 - b / 2 AS a, CASE WHEN stopped OR level IS NULL THEN most ELSE level * weight END AS target
+            FROM levels LEFT JOIN level ON true),
+        placed AS (SELECT doc_id, size, source_size, target, a, b, coalesce(sum(size) OVER (
+                PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        counted AS (SELECT *, floor(target / greatest(source_size, 1)) AS full_times, CASE WHEN target > 0 THEN least(before::DOUBLE / target, 1.0) END AS u FROM placed),
+        taken AS (SELECT *, (CASE WHEN size = 0 THEN 0 ELSE least(full_times
+                + CASE WHEN before + size / 2.0 <= target - full_times * source_size THEN 1 ELSE 0 END, {int(MOST)}) * size END)::BIGINT AS taken FROM counted)
+    SELECT doc_id, size, source_size, target, taken,
+        CASE WHEN taken > 0 THEN CASE WHEN b = 0 THEN u ELSE (sqrt(a * a + 2 * b * u) - a) / b END END AS position
+    FROM taken
+"""

@@ -106,4 +106,4 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_license_scan"] = op7_license_scan
-SQL["op7_license_scan"] = licenses.SQL
+SQL |= {"op7_license_scan": licenses.SQL, "op3_mixing": mixing.SQL}

@@ -155,8 +155,8 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _large(keyed: DataFrame, shard: int) -> DataFrame:
-    """(cell, size) of the keys with more rows than a shard."""
-    return _few(keyed.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > shard))
+    """(cell, there) of the keys with more rows than a shard."""
+    return _few(keyed.groupBy("cell").agg(F.count("*").alias("there")).where(F.col("there") > shard))
 
 
 def hits(rows: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -223,7 +223,7 @@ def search(keyed: DataFrame, find: Callable, shard: int) -> DataFrame:
     columns = [c for c in keyed.columns if c != "cell"]
     at = lambda tree: F.xxhash64("cell", tree).alias("cell")
     small = keyed.join(hot, "cell", "left_anti").select("cell", *columns, side(BOTH))
-    cut = keyed.join(hot, "cell").withColumn("trees", F.ceil(F.col("size") / shard).cast("int"))
+    cut = keyed.join(hot, "cell").withColumn("trees", F.ceil(F.col("there") / shard).cast("int"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("tree")), F.col("trees")).cast("int"))
     own = cut.select(at(F.col("mine")), *columns, side(BOTH))
     leading = cut.where("mine = 0").withColumn("to", F.explode(F.expr("sequence(1, trees - 1)")))
