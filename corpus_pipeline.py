@@ -1,4 +1,9 @@
-"""From raw documents to encoded training data, in stages that the caller writes between."""
+"""From raw documents to encoded training data, in stages that the caller writes between.
+
+Every stage but the last returns the columns of its documents, whatever their names. Null texts
+count as empty, rows that repeat an id are rows like others unless a stage says otherwise, and
+an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +17,18 @@ from loomdigest.llm.token_file import fresh_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; those without letters or text go."""
+    """Documents with a language stay; those without letters or text go, of repeated rows each by itself."""
     model = langid.train(docs, vocabulary_pieces(public("piece_bpe_32k.model")), remainder(F.col("doc_id"), 5) != 0)
     return docs.where(langid.predictor(spark, model)(F.col("text"))["lang_pred"] != langid.UNDETERMINED)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, null ids last; of rows that repeat it, one."""
     return exact_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near copies the smallest doc_id stays."""
+    """Of a component of near copies the smallest doc_id stays; rows of one id stay or go together, those without id stay."""
     return simhash.near_dedup(docs)
 
 
@@ -33,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece counts and digests of each row."""
+    """Piece counts and digests of each row: doc_id (null and repeated ones too), n_tokens, ids_sha256, decoded_sha256."""
     return pieces.digests(docs, public("piece_bpe_32k.model"))
 
 
@@ -45,7 +50,7 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: Fingerprints, piece models and merges are no SQL; tests compare with brute force.
+#: Fingerprints, piece models and merges are no SQL; tests/llm/test_edges.py compares run() with plain Python.
 ORACLE_SQL = None
 
 

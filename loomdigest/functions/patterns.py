@@ -39,6 +39,7 @@ SUMMARY_NARROW = (
     r"^\s*✓|✗|✘|×|✔|❌|⚠",
     r"(?i)^\s*(BUILD|COMPILE|DEPLOY)\s+(SUCCESS|FAIL|ERROR)",
 )
+# Warnings that are no errors; lines whose templates would hide an outcome.
 WARNING, GRAVE = r"\b(warn(ing)?|deprecat(ed|ion))\b", r"\b(error|fatal|fail)\b"
 UNSAFE_FOR_TEMPLATES = r"\b(error|fatal|fail(ed|ure)?|panic|crash|exception)\b"
 # Marks of search results, install logs and help texts.
@@ -53,6 +54,7 @@ INSTALL = (
     r"\bnpm\s+warn",
 )
 HELP = (r"(?m)^usage:\s", r"\b(--help|-h)\b.*\bshow\s+(this\s+)?help", r"\boptions?\s*:", r"\bcommands?\s*:", r"(?m)^\s{2,}(-\w|--\w)")
+# Addresses.
 URL = r"https?://[^\s)}\]\"']+"
 # Lines of code, listings and fields.
 IMPORT_LINE = r"^\s*(import|from|require|use|using|#include|package)\s"

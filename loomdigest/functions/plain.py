@@ -10,7 +10,8 @@ from collections.abc import Iterable, Sequence
 #: White space that trimming removes and ``\\s`` stands for.
 BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 # Ranges of wide letters.
-WIDE = re.compile("[一-鿿㐀-䶿豈-﫿⺀-⻿　-〿぀-ゟ゠-ヿ＀-￯가-힯]")
+WIDE_RANGES = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x2E80, 0x2EFF), (0x3000, 0x303F), (0x3040, 0x309F), (0x30A0, 0x30FF), (0xFF00, 0xFFEF), (0xAC00, 0xD7AF))
+WIDE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in WIDE_RANGES) + "]")
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 

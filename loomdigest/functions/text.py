@@ -6,23 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .plain import spelled
+from .plain import BLANKS, WIDE_RANGES, spelled
 
-# Ranges of wide letters, and characters outside the basic plane.
-CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{2e80}-\x{2eff}\x{3000}-\x{303f}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ff00}-\x{ffef}\x{ac00}-\x{d7af}]"
+#: The ranges and blanks of ``plain``, spelt for columns and SQL; characters outside the basic plane.
+CJK = "[" + "".join(rf"\x{{{a:04x}}}-\x{{{b:04x}}}" for a, b in WIDE_RANGES) + "]"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
-#: White space that trimming removes.
-BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-_LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+BLANK = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS) + "]"
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # Masks of changing parts of a line, in order.
 MASKS = (
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "__UUID__"),
-    (_LEFT + r"[0-9a-fA-F]{8,64}" + _RIGHT, "__HASH__"),
+    (r"\b[0-9a-fA-F]{8,64}\b", "__HASH__"),
     (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}[.0-9Z]*", "__TIME__"),
     (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "__DATE__"),
     (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "__IP__"),
-    (_LEFT + r"[0-9]+\.[0-9]+" + _RIGHT, "__NUM__"),
-    (_LEFT + r"[0-9]{2,}" + _RIGHT, "__NUM__"),
+    (r"\b[0-9]+\.[0-9]+\b", "__NUM__"),
+    (r"\b[0-9]{2,}\b", "__NUM__"),
     (r'"[^"]{1,80}"', '"__STR__"'),
     (r"\([^()]{4,60}\)", "(__ARGS__)"),
 )
@@ -45,7 +45,7 @@ def trim(x: Column) -> Column:
 def template(x: Column) -> Column:
     """A line with its changing parts masked."""
     for pattern, mask in MASKS:
-        x = F.regexp_replace(x, pattern, mask)
+        x = F.regexp_replace(x, pattern.replace(r"\b", _BOUNDARY), mask)
     return x
 
 
@@ -73,8 +73,6 @@ def threshold(kind: Column, config: Config) -> Column:
     )
 
 
-_WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _ENDS = r"\n\r\x{2028}\x{2029}"
 
 

@@ -20,6 +20,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _VARIABLE, _TOLD_VARIABLE = pattern(r"^[A-Z_][A-Z0-9_]*="), pattern(r"^(PATH|HOME|PWD|USER|SHELL|LANG|NODE_ENV|DATABASE_URL|REDIS_URL|LOOMDIGEST_)")
 _SIGNAL = pattern(r"(?:decided|confirmed|fixed|changed|updated|created|deleted|error|fail|success|result|conclusion|note|important|warning|assertion|exception|traceback|timeout|deprecated|vulnerab|compiled successfully|passing|failing|plan:|found \d+ errors?)", re.I)
 _TITLE, _TITLE_MARK = pattern(r"^#{1,4}\s+"), pattern(r"^#+\s*")
+# List items, column heads and places in code.
 _BULLET, _BULLET_MARK = (pattern(r"^[-*]\s+"), pattern(r"^\d+[.)]\s+")), pattern(r"^[-*\d.)\s]+")
 _COLUMNS = pattern(r"^[A-Z][A-Z0-9_./ -]{3,}(?:\s{2,}|\t)[A-Z][A-Z0-9_./ -]{2,}")
 _PLACES = (pattern(r"^\S+\.\w+:\d+(?::\d+)?[: ]"), pattern(r'^File\s+".+",\s+line\s+\d+'), pattern(r"^(\./|/|[A-Za-z]:\\)"))
@@ -111,6 +112,7 @@ def _variables(rows: list[str]) -> str | None:
     return _first(f"[Environment-like output: {len(found)} variables]", told, 8) if len(found) >= 5 else None
 
 
+# The head of a list of pods.
 _PODS = pattern(r"^NAME\s+READY\s+STATUS", re.I)
 
 
@@ -139,6 +141,7 @@ def _table(rows: list[str]) -> str | None:
     return _first(f"[Tabular data: {len(rows) - 1} rows × {len(names)} columns]\nColumns: {', '.join(names[:10])}", rows[1:], 3, "row(s)")
 
 
+# Lines of image builds and of plans.
 _STEP, _BUILT = pattern(r"^Step\s+\d+/\d+\s*:"), pattern(r"compiled successfully|Successfully built|Successfully tagged|build complete", re.I)
 _PLAN, _PLANNED = pattern(r"^Plan:\s+\d+\s+to add,\s+\d+\s+to change,\s+\d+\s+to destroy\.?$", re.I), pattern(r"^#\s+.+\s+will be\s+")
 
@@ -156,6 +159,7 @@ def _infrastructure_plan(rows: list[str]) -> str | None:
     return _first(f"[Terraform plan summary]\n{plan}", [x for x in rows if _PLANNED.match(x)], 5, "resource change(s)") if plan else None
 
 
+# Lines of a repository's status.
 _BRANCH, _CHANGES = pattern(r"On branch\s+", re.I), pattern(r"Changes not staged for commit|Untracked files", re.I)
 _MODIFIED, _UNTRACKED = pattern(r"^modified:\s+"), pattern(r"^Untracked files:", re.I)
 _HINT = pattern(r"^(use |no changes added|\(|On branch|Your branch)", re.I)

@@ -10,7 +10,7 @@ from ..functions.plain import cut, pattern, spread, tokens, trim, units
 from ..functions.text import MASKS
 
 _FIELD = pattern(FIELD_LINE)
-_MASKS = [(pattern(p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")), m) for p, m in MASKS]
+_MASKS = [(pattern(p), m) for p, m in MASKS]
 
 
 def lines_once(content: str) -> str | None:

@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions import patterns as P
 from ..functions.text import ASTRAL, BLANK, CJK, MASKS, category, either, estimate_tokens, for_re2, threshold
 from ..operators import lines, profiles
-from . import engine
+from . import engine, report
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,11 +181,23 @@ def running_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.running_ratio(events, ["user_id"], "event_id").select("user_id", F.round("average", 9).alias("average"))
 
 
+def case_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged cases made of orders, by status: priced as tokens, cut by their customer's number."""
+    before = F.floor(F.col("o_totalprice") / 100).cast("long")
+    hit = F.col("o_custkey") % 5 != 0
+    after = F.floor(before * (F.col("o_custkey") % 101) / 100).cast("long")
+    made = F.struct(hit.alias("distilled"), F.col("o_orderpriority").alias("content"), before.alias("tokens_before"), after.alias("tokens_after"), F.concat(F.lit("rule/"), F.col("o_orderstatus")).alias("rule"))
+    cases = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", made.alias("result"), F.lit("rule/F").alias("expected_rule"), F.lit("1-URGENT").alias("expected_text"))
+    judged = report.judged(cases)
+    counts = judged.groupBy("o_orderstatus").agg(F.count_if("rule_match").alias("matches"), F.count_if("text_found").alias("found"))
+    return report.summary(judged, "o_orderstatus").join(counts, "o_orderstatus")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, classify_and_gate, line_dedup_stats, line_dedup_text, template_groups, head_tail, truncate_budget, severity_counts, csv_profile, diff_stats,
-        listing_extensions, record_fields, common_blocks, content_analysis, json_keys, compacted_sync, compacted_rules, rule_hits, long_messages, running_ratio,
+        listing_extensions, record_fields, common_blocks, content_analysis, json_keys, compacted_sync, compacted_rules, rule_hits, long_messages, running_ratio, case_report,
     )
 }
 
@@ -201,8 +213,7 @@ def _trim(x: str) -> str:
 
 def _masked(x: str) -> str:
     for pattern, mask in MASKS:
-        bound = pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
-        x = f"regexp_replace({x}, '{bound}', '{mask}', 'g')"
+        x = f"regexp_replace({x}, '{pattern}', '{mask}', 'g')"
     return x
 
 
@@ -307,6 +318,14 @@ SQL |= {
         SELECT msg_id + 3000000000, content FROM ({_LOGS})), s AS (SELECT *, lower(left({_trim("content")}, 2000)) AS start FROM o)
         SELECT msg_id, CASE WHEN len(regexp_extract_all(content, '{_URL}')) >= 3 THEN 'data_output' WHEN {_hits("start", P.INSTALL)} >= 2 THEN 'install_log' WHEN {_hits("start", P.HELP)} >= 2 THEN 'usage_help'
         WHEN regexp_matches(start, '{either(P.ERRORS_NARROW, True, for_re2)}') THEN 'error_output' ELSE 'generic' END AS kind FROM s""",
+    "case_report": """
+        WITH o AS (SELECT o_orderstatus, o_custkey % 5 <> 0 AS hit, o_orderpriority AS content, floor(o_totalprice / 100)::BIGINT AS before, o_custkey FROM orders),
+        r AS (SELECT *, CASE WHEN hit THEN before - floor(before * (o_custkey % 101) / 100)::BIGINT ELSE 0 END AS saved FROM o),
+        c AS (SELECT *, CASE WHEN hit THEN floor(saved / greatest(before, 1) * 100 + 0.5e0)::BIGINT ELSE 0 END AS percent FROM r),
+        p AS (SELECT *, CASE WHEN hit THEN saved > 0 AND percent >= 10 ELSE before < 150 END AS passes FROM c)
+        SELECT o_orderstatus, count(*) AS cases, count(*) FILTER (passes) AS passed, count(*) FILTER (NOT passes) AS failed, sum(before)::BIGINT AS tokens, sum(saved)::BIGINT AS saved,
+        floor(sum(saved)::DOUBLE / greatest(sum(before), 1)::DOUBLE * 100 + 0.5e0)::BIGINT AS saved_percent, floor(avg(percent) + 0.5e0)::BIGINT AS mean_percent,
+        count(*) FILTER (hit) AS matches, count(*) FILTER (hit AND contains(content, '1-URGENT')) AS found FROM p GROUP BY o_orderstatus""",
     "json_keys": "SELECT event_type, k AS key, count(*) AS times FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL",
     "running_ratio": """
         WITH r AS (SELECT user_id, value / 1000 AS ratio, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS back FROM events WHERE value IS NOT NULL)
