@@ -34,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that no later read needs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo; null ids give null."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus

@@ -39,7 +39,7 @@ def _check(model) -> None:
 
 
 class PieceCoder:
-    def __init__(self, model_file: str, remember: int = 250_000, pairs: int = 500_000):
+    def __init__(self, model_file: str, remember: int = 400_000, pairs: int = 800_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)

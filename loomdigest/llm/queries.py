@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,12 @@ END_ID = 1
 
 
 def public(name: str) -> str:
-    """A public tokenizer's file."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        import sys
-
-        sys.path.append("/opt/tokenizers")
-        sys.path.append("/opt")
-        import public_tokenizers
+    """A public tokenizer's file, in the folder that LOOMDIGEST_TOKENIZERS names or as the installed package has it."""
+    folder = os.environ.get("LOOMDIGEST_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
