@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdigest.llm import exact_dedup, langid, mixing, pieces, simhash
-from loomdigest.llm.common import remainder, table
+from loomdigest.llm.common import remainder, remove, table
 from loomdigest.llm.queries import public, vocabulary_pieces
 from loomdigest.llm.token_file import fresh_path
 
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over what the others wrote; a stage's folder goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{fresh_path(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
