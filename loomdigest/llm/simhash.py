@@ -117,8 +117,9 @@ def links(values: DataFrame, radius: int = 4, blocks: int | None = None, shard:
     for _ in range(2):
         hot = _large(keyed, shard)
         if hot.isEmpty():
-            break
-        part = _linked(keyed.join(hot, "cell", "left_anti"), radius, shard)
+            part = _linked(keyed, radius, None)
+            return part if found is None else found.unionByName(part)
+        part = _linked(keyed.join(hot, "cell", "left_anti"), radius, None)
         found = part if found is None else found.unionByName(part)
         below = [finer(m, radius) for m in chosen]
         chosen = [m for ms in below for m in ms]
@@ -126,11 +127,10 @@ def links(values: DataFrame, radius: int = 4, blocks: int | None = None, shard:
         sub = F.explode(F.sequence(F.col("n") * (radius + 1), F.col("n") * (radius + 1) + radius))
         rows = keyed.join(hot, "cell", "left_semi").select("fp", sub.alias("n"))
         keyed = rows.select("fp", "n", F.xxhash64("n", F.col("fp").bitwiseAND(F.element_at(signed, F.col("n") + 1))).alias("cell"))
-    rest = _linked(keyed, radius, shard)
-    return rest if found is None else found.unionByName(rest)
+    return found.unionByName(_linked(keyed, radius, shard))
 
 
-def _linked(keyed: DataFrame, radius: int, shard: int) -> DataFrame:
+def _linked(keyed: DataFrame, radius: int, shard: int | None) -> DataFrame:
     def find(rows: pa.Table, joined: bktree.Joined, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a, b in hits(rows, radius):
             # equal values of a key that came twice are one
@@ -208,17 +208,17 @@ def _in_shards(rows: DataFrame, find: Callable) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, ra long, rb long")
 
 
-def search(keyed: DataFrame, find: Callable, shard: int) -> DataFrame:
+def search(keyed: DataFrame, find: Callable, shard: int | None) -> DataFrame:
     """(a, b): links between ids of rows (cell, id, root, fp, ...) of one cell, enough to keep what they connect.
 
-    A cell of up to ``shard`` rows is searched by one task. A larger one is cut into trees of
+    A cell of up to ``shard`` rows (None: each as it is) is searched by one task. A larger one is cut into trees of
     about that size: first every tree is searched by its own rows, which also ask its first
     tree. As a rule that joins a large group of copies; then only rows outside the cell's
     largest class so far are sent to its other trees, so the rows sent stay in proportion.
     """
-    hot = _large(keyed, shard)
     side = lambda n: F.lit(n).alias("side")
-    if hot.isEmpty():
+    hot = None if shard is None else _large(keyed, shard)
+    if hot is None or hot.isEmpty():
         return _in_shards(keyed.select("*", side(BOTH)), find).select("a", "b")
     columns = [c for c in keyed.columns if c != "cell"]
     at = lambda tree: F.xxhash64("cell", tree).alias("cell")
