@@ -23,6 +23,8 @@ _WEIGHT_BITS, _LOW_BITS, _EMIT = 10, 28, 32
 #: Places of a block's order-2 memory, and bits of how often one was right lately.
 _SLOTS, _TRUST = 512, 2
 _RANK_BITS = 24
+#: Steps between two looks at the room for coded words; a step leaves one of them as a rule, two at most.
+_ROOM = 64
 _U = np.uint64
 i32 = np.int32
 
@@ -124,11 +126,13 @@ def encode_blocks(ranks: np.ndarray, prior: Prior) -> list[bytes]:
     mixer, bits = _Mixer(prior, lanes), i32(prior.bits)
     shift = _U(prior.bits + _WEIGHT_BITS)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
-    words = np.zeros((lanes, width + 3), _U)
+    words = np.zeros((lanes, width // 3 + 2 * _ROOM), _U)  # grows where ids are hard to tell
     used = np.zeros(lanes, np.int64)
     columns = np.ascontiguousarray(ranks.T.astype(i32))
     one = two = np.zeros(lanes, i32)
     for t in range(width):
+        if t % _ROOM == 0 and int(used.max()) + 2 * _ROOM > words.shape[1]:
+            words = np.concatenate([words, np.zeros((lanes, width // 3 + 2 * _ROOM), _U)], axis=1)
         rank = columns[t]
         mixer.weigh(mixer.place(one, two), prior.sure.take(one))
         guess1, guess2, w1, w2 = prior.follower.take(one), mixer.guess, mixer.w1, mixer.w2
@@ -149,13 +153,14 @@ def encode_blocks(ranks: np.ndarray, prior: Prior) -> list[bytes]:
         mixer.learn(rank, right2, right1)
         two, one = one, rank
     rows = np.arange(lanes)
+    words = np.concatenate([words[:, : int(used.max(initial=0)) + 1], np.zeros((lanes, 2), _U)], axis=1)
     for _ in range(2):
         words[rows, used] = low >> _U(_LOW_BITS)
         low = (low & _U((1 << _LOW_BITS) - 1)) << _U(_EMIT)
         used += 1
     for k in range(int(used.max(initial=1)) - 1, 0, -1):  # carries run towards the front
         words[:, k - 1] += words[:, k] >> _U(32)
-    out = words.astype(np.uint32).astype("<u4")
+    out = words.astype("<u4")
     return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
@@ -209,7 +214,7 @@ def decode_blocks(coded: list[bytes], width: int, prior: Prior) -> np.ndarray:
 
 def pack(ids: np.ndarray, block: int) -> tuple[bytes, list[tuple[int, int, bytes]]]:
     """The prior of a run of ids, and (ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block in turn."""
-    prior, ranks = Prior.of(np.asarray(ids, np.int64))
+    prior, ranks = Prior.of(np.asarray(ids))
     n = -(-len(ids) // block)
     if not n:
         return prior.dump(), []
