@@ -55,18 +55,7 @@ class Prior:
         frequency = 1 + counts * (whole - len(present)) // max(1, len(ids))
         if len(present):
             frequency[counts.argmax()] += whole - frequency.sum()
-        follower, sure = np.zeros(len(present), i32), np.zeros(len(present), i32)
-        if len(ids) > 1:
-            # followers are guessed from up to some million pairs, evenly spaced; a guess costs bits, never ids
-            step = max(1, len(ids) >> 20)
-            before = ranks[:-1:step]
-            pairs, n = np.unique(before.astype(np.int64) << 32 | ranks[1::step], return_counts=True)
-            met = np.bincount(before, minlength=len(present))
-            order = np.lexsort((-n, pairs >> 32))
-            before = (pairs >> 32)[order]
-            first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-            follower[before[first]] = (pairs & 0xFFFFFFFF)[order][first]
-            sure[before[first]] = np.minimum(3, 6 * n[order][first] // met[before[first]])
+        follower, sure = _followers(ranks, len(present))
         return cls(present.astype(np.int64), frequency.astype(i32), follower, sure), ranks
 
     def dump(self) -> bytes:
@@ -79,6 +68,35 @@ class Prior:
         return cls(np.cumsum(gaps, dtype=np.int64), frequency.astype(i32), follower.astype(i32), sure.astype(i32))
 
 
+def _followers(ranks: np.ndarray, present: int) -> tuple[np.ndarray, np.ndarray]:
+    """What most often follows each of the ``present`` ranks (of equals the least), and how sure it is, by all pairs of the run."""
+    follower, sure = np.zeros(present, i32), np.zeros(present, i32)
+    if len(ranks) < 2:
+        return follower, sure
+    # a pair is one number, of 32 bits if ranks have 16: sorting these is half the work
+    wide, bits = (np.uint32, 16) if present <= 1 << 16 else (np.uint64, 32)
+    pairs = ranks[:-1].astype(wide)
+    pairs <<= wide(bits)
+    pairs |= ranks[1:].view(np.uint32)
+    pairs.sort()
+    begins = _heads(pairs)
+    n = np.diff(begins, append=len(pairs)).astype(i32)
+    pairs = pairs[begins]
+    del begins
+    before = pairs >> wide(bits)
+    first = _heads(before)
+    most = np.flatnonzero(n == np.repeat(np.maximum.reduceat(n, first), np.diff(first, append=len(n))))
+    best = most[_heads(before[most])]
+    follower[before[best]] = pairs[best] & wide((1 << bits) - 1)
+    sure[before[best]] = np.minimum(3, 6 * n[best].astype(np.int64) // np.add.reduceat(n, first, dtype=np.int64))
+    return follower, sure
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where each different number begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+
 def _scale(ids: int) -> int:
     """Bits of the frequencies' total: each of so many ids has one at least."""
     if ids >= 1 << 19:

@@ -96,7 +96,7 @@ class Encoder:
             return np.concatenate(coded) if coded else np.zeros(0, np.uint32), np.array(list(map(len, coded)), np.int64)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         runs = cut.flatten().dictionary_encode()
-        ids = self._ids(runs.dictionary.to_pylist())
+        ids = self._ids(runs.dictionary.to_numpy(zero_copy_only=False).tolist())  # a sixth of to_pylist's time
         size = np.array([*map(len, ids), 4]) >> 2  # the end id is one more run
         pool = np.concatenate([np.frombuffer(b"".join(ids), np.uint32), np.array([self.end], np.uint32)])
         begins = np.cumsum(size) - size

@@ -1,6 +1,7 @@
 """The token file against the tokenizers library, and the coder against general compression."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,20 @@ def test_a_changed_block_is_noticed():
     bent = bytes([payload[0] ^ 1]) + payload[1:]
     with pytest.raises(ValueError):
         rangecoder.unpack(prior, [(n, crc, bent)])
+
+
+@pytest.mark.parametrize("kinds, n", [(1, 9), (700, 1), (700, 0), (700, 1 << 22), (90_000, 1 << 21), (3, 1 << 22)])
+def test_followers_are_counted_over_all_pairs_of_a_run(kinds, n):
+    """Against a plain count: runs of one id, of none, long ones, and with more ids than 16 bits tell apart."""
+    rng = np.random.default_rng(n)
+    ids = (rng.integers(0, kinds, n) * rng.random(n) ** 2).astype(np.uint32) * 2 + 5
+    if kinds == 3:
+        ids = np.tile(np.array([9, 4, 9, 7], np.uint32), n // 4)  # even places hold one id only
+    prior, _ = rangecoder.Prior.of(ids)
+    met, best = {}, {}
+    for (a, b), k in sorted(Counter(zip(ids[:-1].tolist(), ids[1:].tolist())).items()):
+        met[a] = met.get(a, 0) + k
+        if k > best.get(a, (0, 0))[0]:
+            best[a] = k, b
+    want = [(best[a][1], min(3, 6 * best[a][0] // met[a])) if a in met else (prior.ids[0], 0) for a in prior.ids.tolist()]
+    assert [(a, s) for a, s in zip(prior.ids.take(prior.follower).tolist(), prior.sure.tolist(), strict=True)] == want
