@@ -54,6 +54,19 @@ INSTALL = (
     r"\bnpm\s+warn",
 )
 HELP = (r"(?m)^usage:\s", r"\b(--help|-h)\b.*\bshow\s+(this\s+)?help", r"\boptions?\s*:", r"\bcommands?\s*:", r"(?m)^\s{2,}(-\w|--\w)")
+# What a text in small letters must hold, one of these, for each pattern to be met: a quick look before the slow one.
+NEEDED = {
+    ERRORS_NARROW: (
+        ("err", "fatal", "panic", "exception", "traceback", "stack"),
+        ("fail", "expect"),
+        ("oom", "memory", "killed", "segfault", "core", "abort", "crash"),
+        ("err",),
+        ("exit",),
+        ("crash", "oom", "image"),
+    ),
+    INSTALL: (("install", "add", "update"), ("downloading",), ("satisfied",), ("installed",), ("collecting",), ("package",), ("npm",)),
+    HELP: (("usage:",), ("help",), ("option",), ("command",), ("-",)),
+}
 # Addresses.
 URL = r"https?://[^\s)}\]\"']+"
 # Lines of code, listings and fields.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +41,23 @@ def estimate_tokens(x: Column) -> Column:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, f"^{BLANK}+", ""), BLANK + r"+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
+
+
+def trimmed_start(x: Column, most: int) -> Column:
+    """The first characters of the trimmed text; only these are looked at from the end, however long it is."""
+
+    def start(left: Column) -> Column:
+        head = F.substring(left, 1, most)
+        goes_on = F.ltrim(F.substring(left, F.lit(most + 1), F.length(left)), F.lit(BLANKS)) != ""
+        return F.when(goes_on, head).otherwise(F.rtrim(head, F.lit(BLANKS)))
+
+    return once(F.ltrim(x, F.lit(BLANKS)), start)
+
+
+def once(x: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(x)`` with x worked out a single time, however often it is used."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
 
 
 def template(x: Column) -> Column:

@@ -6,11 +6,14 @@ distinct values travel; running sums over lines stay within a row as array folds
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import either, estimate_tokens, for_spark, trim, utf16_length
+from ..functions.text import either, estimate_tokens, for_spark, once, trim, trimmed_start, utf16_length
 from .lines import explode_lines
 
 
@@ -132,19 +135,24 @@ def common_blocks(messages: DataFrame, size: int = 3) -> DataFrame:
     return top.select("msg_id", "t.*")
 
 
+def met(text: Column, patterns: tuple[str, ...]) -> list[Column]:
+    """Whether each pattern is met in a text of small letters; most texts lack what it needs and are not searched."""
+    found = []
+    for p, needed in zip(patterns, P.NEEDED[patterns], strict=True):
+        here = text.rlike(("(?imd)" if p.startswith("(?m)") else "(?i)") + for_spark(p.removeprefix("(?m)")))
+        found.append(reduce(or_, map(text.contains, needed)) & here)
+    return found
+
+
 def kind_of_text(content: Column) -> Column:
     """The kind of a tool's output that is no JSON: data_output, install_log, usage_help, error_output or generic."""
-    start = F.lower(F.substring(trim(content), 1, 2000))
+    hits = lambda start, patterns: reduce(add, [m.cast("int") for m in met(start, patterns)])
 
-    def hits(patterns: tuple[str, ...]) -> Column:
-        cases = [start.rlike(("(?imd)" if p.startswith("(?m)") else "(?i)") + for_spark(p.removeprefix("(?m)"))).cast("int") for p in patterns]
-        total = cases[0]
-        for c in cases[1:]:
-            total = total + c
-        return total
+    def by_start(start: Column) -> Column:
+        return F.when(hits(start, P.INSTALL) >= 2, "install_log").when(hits(start, P.HELP) >= 2, "usage_help").when(reduce(or_, met(start, P.ERRORS_NARROW)), "error_output").otherwise("generic")
 
     links = F.regexp_count(content, F.lit(for_spark(P.URL))) >= 3
-    return F.when(links, "data_output").when(hits(P.INSTALL) >= 2, "install_log").when(hits(P.HELP) >= 2, "usage_help").when(start.rlike(either(P.ERRORS_NARROW, True)), "error_output").otherwise("generic")
+    return F.when(links, "data_output").otherwise(once(F.lower(trimmed_start(content, 2000)), by_start))
 
 
 def key_counts(objects: DataFrame, by: str, text: str) -> DataFrame:
