@@ -126,13 +126,31 @@ def record_fields(messages: DataFrame) -> DataFrame:
 
 def common_blocks(messages: DataFrame, size: int = 3) -> DataFrame:
     """(msg_id, block, times, first_pos): of messages of 20 lines or more, the commonest run of lines
-    of 20 characters or more, if met three times; ties by first sight. Runs are made within the row."""
-    split = messages.select("msg_id", F.split("content", "\n").alias("l")).where(F.size("l") >= 20)
-    runs = F.transform(F.sequence(F.lit(1), F.size("l") - (size - 1)), lambda i: trim(F.array_join(F.slice("l", i, F.lit(size)), "\n")))
-    found = split.select("msg_id", F.posexplode(runs).alias("pos", "block")).where(utf16_length(F.col("block")) >= 20)
-    counts = found.groupBy("msg_id", "block").agg(F.count("*").alias("times"), F.min("pos").alias("first_pos")).where("times >= 3")
-    top = counts.groupBy("msg_id").agg(F.max_by(F.struct("block", "times", "first_pos"), F.struct("times", -F.col("first_pos"))).alias("t"))
-    return top.select("msg_id", "t.*")
+    of 20 characters or more, if met three times; ties by first sight. Runs are made, sorted and counted
+    within the row, so only each message's commonest run is grouped; of rows that repeat an id, the best run of one."""
+    top = F.explode(F.filter(F.array(once(F.split("content", "\n"), lambda l: F.when(F.size(l) >= 20, _commonest(l, size)))), lambda t: t["times"] >= 3))
+    best = messages.select("msg_id", top.alias("t")).groupBy("msg_id").agg(F.max_by("t", F.struct("t.times", -F.col("t.first_pos"))).alias("t"))
+    return best.select("msg_id", "t.block", F.col("t.times").cast("long").alias("times"), "t.first_pos")
+
+
+def _commonest(lines: Column, size: int) -> Column:
+    """block, times and first_pos of the commonest run, null or of fewer times where none is met three times."""
+    block = lambda i: trim(F.concat_ws("\n", *[F.get(lines, i + k) for k in range(size)]))
+    runs = F.transform(F.sequence(F.lit(0), F.size(lines) - size), lambda i: F.struct(block(i).alias("block"), i.alias("pos")))
+    found = F.filter(runs, lambda r: (F.length(r["block"]) >= 20) | (utf16_length(r["block"]) >= 20))
+    counted = lambda block, times, first: F.struct(block.alias("block"), times.alias("times"), first.alias("first_pos"))
+    none = counted(F.lit(""), F.lit(0), F.lit(0))
+
+    def step(at: Column, r: Column) -> Column:
+        run, top = at["run"], at["top"]
+        again = counted(run["block"], run["times"] + 1, run["first_pos"])
+        commoner = (run["times"] >= top["times"]) | ((run["times"] + 1 == top["times"]) & (run["first_pos"] < top["first_pos"]))
+        more = F.struct(again.alias("run"), F.when(commoner, again).otherwise(top).alias("top"))
+        return F.when(run["block"] == r["block"], more).otherwise(F.struct(counted(r["block"], F.lit(1), r["pos"]).alias("run"), top.alias("top")))
+
+    # a run met three times leaves two that were met before, so most messages need no sort
+    repeated = lambda r: F.size(r) - F.size(F.array_distinct(F.transform(r, lambda x: x["block"]))) >= 2
+    return once(found, lambda r: F.when(repeated(r), F.aggregate(F.sort_array(r), F.struct(none.alias("run"), none.alias("top")), step, lambda at: at["top"])))
 
 
 def met(text: Column, patterns: tuple[str, ...]) -> list[Column]:

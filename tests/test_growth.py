@@ -1,10 +1,11 @@
 """Steps that must not grow faster than their input: what is worked out once, and what stays in a row."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from loomdigest.functions.plain import trim
+from loomdigest.functions.plain import trim, units
 from loomdigest.functions.text import trim as trim_column
 from loomdigest.operators import analysis, profiles
 
@@ -25,3 +26,22 @@ def test_kinds_of_texts_as_for_one_message(spark):
 def test_the_start_of_a_text_is_worked_out_once(spark):
     df = spark.createDataFrame([("x",)], "content string").select(profiles.kind_of_text(F.col("content")).alias("kind"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_blocks_are_counted_within_the_row(spark):
+    r = random.Random(4)
+    parts = ["the same line of a block", "another line of a block", "short", "", " ", "  indented line of some length", "🎉" * 6, "漢字の行です 漢字の行です"]
+    texts = ["\n".join(r.choice(parts[: r.randint(1, 8)]) for _ in range(r.randint(15, 60))) for _ in range(150)] + [None, "", "\n".join(f"line number {i} of a text" for i in range(50))]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id long, content string")
+    for size in (2, 3):
+        want = {}
+        for i, t in enumerate(texts):
+            lines = (t or "").split("\n")
+            blocks = [trim("\n".join(lines[k : k + size])) for k in range(len(lines) - size + 1)] if len(lines) >= 20 else []
+            times = Counter(b for b in blocks if units(b) >= 20)
+            if times and max(times.values()) >= 3:
+                top = max(times, key=times.__getitem__)  # the first seen of those met as often
+                want[i] = (top, times[top], blocks.index(top))
+        found = profiles.common_blocks(df, size)
+        assert {x.msg_id: tuple(x)[1:] for x in found.collect()} == want and len(want) > 50
+        assert "block" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line or "HashAggregate(keys=[msg_id#" in line and "block#" in line.split("functions")[0])
