@@ -60,6 +60,11 @@ def once(x: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), make), F.lit(0))
 
 
+def apart(x: Column) -> Column:
+    """x as a generated column: what is selected or filtered from it later does not work it out again."""
+    return F.explode_outer(F.array(x))
+
+
 def template(x: Column) -> Column:
     """A line with its changing parts masked."""
     for pattern, mask in MASKS:

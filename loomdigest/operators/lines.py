@@ -16,7 +16,7 @@ def explode_lines(messages: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, *order: str) -> DataFrame:
     """msg_id and the rows' ``line`` joined in order."""
-    gathered = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    gathered = F.sort_array(F.collect_list(F.struct(*order, "line")))
     return rows.groupBy("msg_id").agg(F.array_join(F.transform(gathered, lambda r: r["line"]), "\n").alias("content"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import either, estimate_tokens, for_spark, once, trim, trimmed_start, utf16_length
+from ..functions.text import apart, either, estimate_tokens, for_spark, once, trim, trimmed_start, utf16_length
 from .lines import explode_lines
 
 
@@ -52,33 +52,51 @@ def severity_counts(messages: DataFrame) -> DataFrame:
 
 def delimiter(content: Column) -> Column:
     """What cuts the first five lines into equally many columns, three or more, named like columns."""
-    lines = F.slice(F.split(content, "\n"), 1, 5)
-    first = F.element_at(lines, 1)
-    found = F.when(trim(first).rlike(r"^(\[|\{|#|//|<!--)"), None)
-    for d in "\t,|;":
-        width = F.size(F.split(first, f"[{d}]"))
-        even = F.forall(lines, lambda x: F.size(F.split(x, f"[{d}]")) == width)  # noqa: B023
-        named = F.forall(F.split(first, f"[{d}]"), lambda n: (utf16_length(trim(n)) < 80) & ~n.rlike(r"[({]"))
-        found = found.when((width > 2) & even & named, d)
-    return found
+
+    def by_lines(lines: Column) -> Column:
+        first = F.element_at(lines, 1)
+        found = F.when(trim(first).rlike(r"^(\[|\{|#|//|<!--)"), None)
+        for d in "\t,|;":
+            width = F.size(F.split(first, f"[{d}]"))
+            even = F.forall(lines, lambda x: F.size(F.split(x, f"[{d}]")) == width)  # noqa: B023
+            named = F.forall(F.split(first, f"[{d}]"), lambda n: (utf16_length(trim(n)) < 80) & ~n.rlike(r"[({]"))
+            found = found.when((width > 2) & even & named, d)
+        return found
+
+    return once(F.split(F.substring_index(content, "\n", 5), "\n"), by_lines)
 
 
 def csv_profile(messages: DataFrame, columns: int = 10) -> DataFrame:
     """(msg_id, col, name, filled, numeric, low, high, mean, distinct) of the first columns of tables
-    of five filled lines or more; figures of numbers only where over 80 % of the filled cells are."""
-    tables = messages.withColumn("d", delimiter(F.col("content"))).where("d is not null")
-    lines = F.filter(F.split("content", "\n"), lambda x: trim(x) != "")
-    cut = tables.select("msg_id", F.concat(F.lit("["), "d", F.lit("]")).alias("d"), lines.alias("l")).where(F.size("l") >= 5)
-    rows = cut.select("msg_id", "d", F.split(F.element_at("l", 1), F.col("d")).alias("names"), F.explode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("row"))
-    clean = lambda c: F.regexp_replace(trim(c), r'^"|"\z', "")
-    cells = rows.select("msg_id", "names", F.posexplode(F.slice(F.split("row", F.col("d")), 1, columns)).alias("col", "cell"))
-    cells = cells.where("col < size(names)").select("msg_id", "col", clean(F.get("names", F.col("col"))).alias("name"), clean(F.col("cell")).alias("cell"))
-    values = cells.where("cell <> ''").groupBy("msg_id", "col", "name", "cell").agg(F.count("*").alias("n"))
-    text = trim(F.col("cell"))
-    number = F.when(text == "", F.lit(0.0)).when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)\z"), text.try_cast("double"))
-    found = values.withColumn("x", number).groupBy("msg_id", "col", "name").agg(
-        F.sum("n").alias("filled"), F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("numeric"), F.min("x").alias("low"), F.max("x").alias("high"), F.sum(F.col("x") * F.col("n")).alias("sum"), F.count("*").alias("distinct")
-    )
+    of five filled lines or more; figures of numbers only where over 80 % of the filled cells are.
+    Cells stay within the row, as an array a column."""
+    clean = lambda c: once(trim(c), lambda t: F.when(t.contains('"'), F.regexp_replace(t, r'^"|"\z', "")).otherwise(t))
+    # a backslash and a sign: cut by that sign, without a pattern
+    split = lambda x, d: F.split(x, F.concat(F.lit("\\"), d))
+    filled = F.filter(F.split("content", "\n"), lambda x: trim(x) != "")
+
+    def by_column(names: Column, rows: Column) -> Column:
+        values = lambda i: F.filter(F.transform(rows, lambda r: clean(F.get(r, i))), lambda v: v != "")
+        return F.transform(F.sequence(F.lit(0), F.least(F.size(names), F.lit(columns)) - 1), lambda i: F.struct(i.alias("col"), clean(F.get(names, i)).alias("name"), values(i).alias("values")))
+
+    def cells(lines: Column, d: Column) -> Column:
+        rows = F.transform(F.slice(lines, F.lit(2), F.size(lines) - 1), lambda r: F.slice(split(r, d), 1, columns))
+        return once(split(F.element_at(lines, 1), d), lambda names: once(rows, lambda r: by_column(names, r)))
+
+    table = once(delimiter(F.col("content")), lambda d: F.when(d.isNotNull(), once(filled, lambda l: F.when(F.size(l) >= 5, cells(l, d)))))
+    found = messages.select("msg_id", F.explode_outer(table).alias("c")).select("msg_id", "c.*").where(F.size("values") > 0)
+    # rows that repeat an id and a name are one column
+    found = found.groupBy("msg_id", "col", "name").agg(F.flatten(F.collect_list("values")).alias("v"))
+
+    def number(cell: Column) -> Column:
+        return once(trim(cell), lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)\z"), t.try_cast("double")))
+
+    def figures(x: Column) -> Column:
+        total = F.aggregate(x, F.lit(0.0), lambda at, n: at + n)
+        return F.struct(F.size(x).cast("long").alias("numeric"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), total.alias("sum"))
+
+    numbers = once(F.filter(F.transform("v", number), lambda x: x.isNotNull()), figures)
+    found = found.select("msg_id", "col", "name", F.size("v").cast("long").alias("filled"), F.size(F.array_distinct("v")).cast("long").alias("distinct"), apart(numbers).alias("x")).select("*", "x.*")
     numeric = F.col("numeric") > F.col("filled") * 0.8
     return found.select("msg_id", "col", "name", "filled", "numeric", *[F.when(numeric, F.col(c)).alias(c) for c in ("low", "high")], F.when(numeric, F.col("sum") / F.col("numeric")).alias("mean"), "distinct")
 
@@ -128,8 +146,8 @@ def common_blocks(messages: DataFrame, size: int = 3) -> DataFrame:
     """(msg_id, block, times, first_pos): of messages of 20 lines or more, the commonest run of lines
     of 20 characters or more, if met three times; ties by first sight. Runs are made, sorted and counted
     within the row, so only each message's commonest run is grouped; of rows that repeat an id, the best run of one."""
-    top = F.explode(F.filter(F.array(once(F.split("content", "\n"), lambda l: F.when(F.size(l) >= 20, _commonest(l, size)))), lambda t: t["times"] >= 3))
-    best = messages.select("msg_id", top.alias("t")).groupBy("msg_id").agg(F.max_by("t", F.struct("t.times", -F.col("t.first_pos"))).alias("t"))
+    top = once(F.split("content", "\n"), lambda l: F.when(F.size(l) >= 20, _commonest(l, size)))
+    best = messages.select("msg_id", apart(top).alias("t")).where("t.times >= 3").groupBy("msg_id").agg(F.max_by("t", F.struct("t.times", -F.col("t.first_pos"))).alias("t"))
     return best.select("msg_id", "t.block", F.col("t.times").cast("long").alias("times"), "t.first_pos")
 
 

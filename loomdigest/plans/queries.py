@@ -41,7 +41,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of each customer's orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     line = F.concat_ws(" ", F.lit("order"), F.col("o_orderkey").cast("string"), F.lit("status"), F.col("o_orderstatus"))
-    gathered = orders.groupBy(F.col("o_custkey").alias("msg_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    gathered = orders.groupBy(F.col("o_custkey").alias("msg_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
     return gathered.select("msg_id", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("content"))
 
 
@@ -62,7 +62,7 @@ def truncate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _texts(rows: DataFrame, key: Column, order: list[str], line: Column, first: str = "", sep: str = "\n") -> DataFrame:
     """A message a key: its lines in order, after a first one."""
-    gathered = rows.groupBy(key.alias("msg_id")).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("l"))
+    gathered = rows.groupBy(key.alias("msg_id")).agg(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))).alias("l"))
     return gathered.select("msg_id", F.concat(F.lit(first), F.array_join(F.transform("l", lambda r: r["line"]), sep)).alias("content"))
 
 

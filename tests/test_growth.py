@@ -1,13 +1,14 @@
 """Steps that must not grow faster than their input: what is worked out once, and what stays in a row."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from loomdigest.functions.plain import trim, units
 from loomdigest.functions.text import trim as trim_column
-from loomdigest.operators import analysis, profiles
+from loomdigest.operators import analysis, payload_text, profiles
 
 
 def test_kinds_of_texts_as_for_one_message(spark):
@@ -45,3 +46,35 @@ def test_blocks_are_counted_within_the_row(spark):
         found = profiles.common_blocks(df, size)
         assert {x.msg_id: tuple(x)[1:] for x in found.collect()} == want and len(want) > 50
         assert "block" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line or "HashAggregate(keys=[msg_id#" in line and "block#" in line.split("functions")[0])
+
+
+def test_cells_of_tables_stay_in_the_row(spark):
+    r = random.Random(6)
+    cells = ["1", "-2.5", ".5", "1e3", "7", "7", "x", '"q"', " 3 ", "", " ", "a b"]
+    texts = []
+    for n in range(40):
+        d, width = r.choice("\t,|;"), r.randint(3, 12)
+        numeric = r.random() < 0.5
+        rows = [[r.choice(cells[:6] if numeric else cells) for _ in range(width)] for _ in range(r.randint(3, 30))]
+        rows = [row if i < 4 or r.random() < 0.8 else row[: r.randint(1, width)] for i, row in enumerate(rows)]
+        texts.append("\n".join(d.join(x) for x in [[f'"name{i}"' for i in range(width)], *rows]))
+    found = profiles.csv_profile(spark.createDataFrame(list(enumerate(texts)), "msg_id long, content string"))
+    want = {}
+    for n, t in enumerate(texts):
+        d, lines = payload_text.delimiter(t, True), [x for x in t.split("\n") if trim(x)]
+        if d is None or len(lines) < 5:
+            continue
+        clean = lambda c: re.sub(r'^"|"\Z', "", trim(c))
+        names = lines[0].split(d)
+        for i, name in enumerate(names[:10]):
+            values = [v for x in lines[1:] if i < len(x.split(d)) and (v := clean(x.split(d)[i])) != ""]
+            numbers = [x for x in map(payload_text.number, values) if x is not None]
+            if values:
+                shown = (min(numbers), max(numbers), round(sum(numbers) / len(numbers), 9)) if len(numbers) > len(values) * 0.8 else (None,) * 3
+                want[n, i] = (clean(name), len(values), len(numbers), *shown, len(set(values)))
+    rows = {(x.msg_id, x.col): (x.name, x.filled, x.numeric, x.low, x.high, None if x["mean"] is None else round(x["mean"], 9), x.distinct) for x in found.collect()}
+    assert rows == want and len(want) > 100
+    # rows that repeat an id count as one table
+    twice = spark.createDataFrame([(1, texts[0]), (1, texts[0])], "msg_id long, content string")
+    assert {x.col: (x.filled, x.distinct) for x in profiles.csv_profile(twice).collect()} == {i: (2 * w[1], w[6]) for (n, i), w in want.items() if n == 0}
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
