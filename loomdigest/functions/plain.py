@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 #: White space that trimming removes and ``\\s`` stands for.
 BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
@@ -44,11 +44,21 @@ def pattern(text: str, flags: int = 0) -> re.Pattern[str]:
 
 def units(x: str) -> int:
     """Length in UTF-16 units."""
-    return len(x) if x.isascii() else len(x) + len(_ASTRAL.findall(x))
+    return len(x) if _below_256(x) else len(x) + len(_ASTRAL.findall(x))
 
 
-def tokens(x: str) -> int:
+def _below_256(x: str) -> bool:
+    """Whether no character is wide or astral, told without a search."""
     if x.isascii():
+        return True
+    try:
+        return x.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
+def tokens(x: str) -> int:
+    if _below_256(x):
         return -(-len(x) // 4)
     wide = len(WIDE.findall(x))
     return math.ceil(wide / 1.5 + (units(x) - wide) / 4)
@@ -63,6 +73,15 @@ def nearest(x: float) -> int:
     return math.floor(x + 0.5)
 
 
+def each_line(x: str) -> Iterator[str]:
+    """What ``x.split("\\n")`` has, one at a time."""
+    at = 0
+    while (end := x.find("\n", at)) >= 0:
+        yield x[at:end]
+        at = end + 1
+    yield x[at:]
+
+
 def cut(x: str, longest: int, keep: int, mark: str = "…") -> str:
     return x if units(x) <= longest else x[:keep] + mark
 

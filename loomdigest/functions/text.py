@@ -31,13 +31,18 @@ MASKS = (
 
 
 def utf16_length(x: Column) -> Column:
-    return F.length(x) + F.regexp_count(x, F.lit(ASTRAL))
+    return F.when(_ascii(x), F.length(x)).otherwise(F.length(x) + F.regexp_count(x, F.lit(ASTRAL)))
+
+
+def _ascii(x: Column) -> Column:
+    """Whether every character is a byte, so that none need be searched."""
+    return F.octet_length(x) == F.length(x)
 
 
 def estimate_tokens(x: Column) -> Column:
     """Tokens of a text: wide letters at 1.5 a token, other UTF-16 units at 4; null gives 0."""
-    wide = F.regexp_count(x, F.lit(CJK))
-    return F.coalesce(F.ceil(wide / F.lit(1.5) + (utf16_length(x) - wide) / F.lit(4.0)), F.lit(0)).cast("long")
+    searched = once(F.regexp_count(x, F.lit(CJK)), lambda wide: F.ceil(wide / F.lit(1.5) + (F.length(x) + F.regexp_count(x, F.lit(ASTRAL)) - wide) / F.lit(4.0)))
+    return F.coalesce(F.when(_ascii(x), F.ceil(F.length(x) / F.lit(4.0))).otherwise(searched), F.lit(0)).cast("long")
 
 
 def trim(x: Column) -> Column:
