@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, configure
@@ -16,6 +16,16 @@ from ..operators import budget, dispatch, recall
 from ..operators.analysis import LEAST_MULTIPLIER
 
 COMPACTED = "content string, tokens long, rule string, failed array<string>"
+_WRITTEN = pa.struct([("content", pa.string()), ("tokens", pa.int64()), ("rule", pa.string())])
+_COMPACTED = pa.struct([*_WRITTEN, ("failed", pa.list_(pa.string()))])
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Messages go to Python in batches of so many rows and bytes at most, however many a partition has."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def flatten(blocks: Column) -> Column:
@@ -70,21 +80,22 @@ class Engine:
         config, profile, summarize, own = self.config, self.profile, self.summarize, self.own
         preserve = tuple(map(re.compile, config.preserve_patterns))
 
-        @F.pandas_udf(COMPACTED)
-        def compacted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            for contents, kinds in parts:
-                rows = []
-                for content, kind in zip(contents, kinds):
-                    failed: list[str] = []
-                    found = dispatch.compact(content, kind, config, profile, summarize, preserve, failed, own) if content is not None else None
-                    rows.append((*(found or (None, None, None)), failed or None))
-                out = pd.DataFrame(rows, columns=["content", "tokens", "rule", "failed"])
-                yield out.astype({"tokens": "Int64"})
-
+        @F.arrow_udf(COMPACTED)
+        def compacted(contents: pa.Array, kinds: pa.Array) -> pa.Array:
+            rows = []
+            # a text at a time: a batch is not held as strings as well
+            for content, kind in zip(contents, kinds):
+                failed: list[str] = []
+                found = dispatch.compact(content.as_py(), kind.as_py(), config, profile, summarize, preserve, failed, own) if content.is_valid else None
+                rows.append((*(found or (None, None, None)), failed or None))
+            return pa.array(rows, _COMPACTED)
+
+        small_batches(messages.sparkSession)
         kind = F.col("category") if "category" in messages.columns else category(F.col("content"), F.col("tool_name") if "tool_name" in messages.columns else None)
         measured = messages.withColumn("category", kind).withColumn("_before", estimate_tokens(F.col("content")))
         asked = F.when(F.lit(config.enabled) & (F.col("_before") > self._least(F.col("category"))), F.col("content"))
-        made = measured.withColumn("_made", compacted(asked, F.col("category")))
+        # not deterministic: a filter on the result would have every message compacted twice
+        made = measured.withColumn("_made", compacted.asNondeterministic()(asked, F.col("category")))
         hit = F.col("_made.rule").isNotNull()
         after = F.when(hit, F.col("_made.tokens")).otherwise(F.col("_before"))
         result = F.struct(
@@ -104,27 +115,28 @@ class Engine:
         envelopes. Needs ``role`` and ``content``; ``session_id`` and ``ts`` go into envelopes where given."""
         config = self.config
 
-        @F.pandas_udf("content string, tokens long, rule string")
-        def written(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            for batch in parts:
-                rows = []
-                for content, role, session, ts in zip(*batch):
-                    found, rule = None, None
-                    if content is not None and role in ("tool", "toolResult"):
-                        found, rule = budget.head_tail(content, config.tool_output_max_tokens, partial=True), "tool-output-truncation/head-tail"
-                        found = found if dispatch.tokens(found) < dispatch.tokens(content) * 0.95 else None
-                    elif content is not None:
-                        found, rule = recall.envelope(content, role, config, session, ts), "layered-recall/message"
-                        found = found if found is not None and dispatch.tokens(found) < dispatch.tokens(content) else None
-                    rows.append((found, dispatch.tokens(found), rule) if found is not None else (None, None, None))
-                yield pd.DataFrame(rows, columns=["content", "tokens", "rule"]).astype({"tokens": "Int64"})
-
+        @F.arrow_udf("content string, tokens long, rule string")
+        def written(contents: pa.Array, roles: pa.Array, sessions: pa.Array, times: pa.Array) -> pa.Array:
+            rows = []
+            for row in zip(contents, roles, sessions, times):
+                content, role, session, ts = (x.as_py() for x in row)
+                found, rule = None, None
+                if content is not None and role in ("tool", "toolResult"):
+                    found, rule = budget.head_tail(content, config.tool_output_max_tokens, partial=True), "tool-output-truncation/head-tail"
+                    found = found if dispatch.tokens(found) < dispatch.tokens(content) * 0.95 else None
+                elif content is not None:
+                    found, rule = recall.envelope(content, role, config, session, ts), "layered-recall/message"
+                    found = found if found is not None and dispatch.tokens(found) < dispatch.tokens(content) else None
+                rows.append((found, dispatch.tokens(found), rule) if found is not None else (None, None, None))
+            return pa.array(rows, _WRITTEN)
+
+        small_batches(messages.sparkSession)
         tool = F.col("role").isin("tool", "toolResult")
         given = lambda name: F.col(name).cast("string") if name in messages.columns else F.lit(None).cast("string")
         most = F.when(tool, config.tool_output_max_tokens).when(F.col("role").isin("user", "assistant"), config.message_max_tokens)
         measured = messages.withColumn("_before", estimate_tokens(F.col("content")))
         asked = F.when(F.lit(config.enabled) & (F.col("_before") > most), F.col("content"))
-        made = measured.withColumn("_made", written(asked, F.col("role"), given("session_id"), given("ts")))
+        made = measured.withColumn("_made", written.asNondeterministic()(asked, F.col("role"), given("session_id"), given("ts")))
         hit = F.col("_made.rule").isNotNull()
         after = F.when(hit, F.col("_made.tokens")).otherwise(F.col("_before"))
         result = F.struct(hit.alias("distilled"), F.coalesce("_made.content", "content").alias("content"), F.col("_before").alias("tokens_before"), after.alias("tokens_after"), F.col("_made.rule").alias("rule"), F.when(hit, after / F.col("_before")).alias("ratio"))

@@ -1,14 +1,19 @@
 """Steps that must not grow faster than their input: what is worked out once, and what stays in a row."""
 
+import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomdigest.functions.plain import trim, units
+from loomdigest.functions.plain import WIDE, tokens, trim, units
+from loomdigest.functions.text import estimate_tokens
 from loomdigest.functions.text import trim as trim_column
-from loomdigest.operators import analysis, payload_text, profiles
+from loomdigest.operators import analysis, payload_text, profiles, repeats
+from loomdigest.plans import engine
 
 
 def test_kinds_of_texts_as_for_one_message(spark):
@@ -78,3 +83,46 @@ def test_cells_of_tables_stay_in_the_row(spark):
     twice = spark.createDataFrame([(1, texts[0]), (1, texts[0])], "msg_id long, content string")
     assert {x.col: (x.filled, x.distinct) for x in profiles.csv_profile(twice).collect()} == {i: (2 * w[1], w[6]) for (n, i), w in want.items() if n == 0}
     assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_distinct_cell_is_read_once(monkeypatch):
+    read = []
+    real = payload_text.number
+    monkeypatch.setattr(payload_text, "number", lambda x: read.append(x) or real(x))
+    content = "a,b,c\n" + "\n".join(f"{i},{i % 3},x" for i in range(50))
+    assert payload_text.table_summary(content, ",", False).split("\n")[2:5] == ["  a: numeric [0, 49]", "  b: numeric [0, 2]", "  c: 1 unique values"]
+    assert len(read) == 50 + 3 + 1
+
+
+def test_tokens_of_all_ranges(spark):
+    texts = ["", "abc", "é" * 9, "ÿ" * 4 + "a", "Ā" * 5, "漢字 a", "🎉é", "…" * 7, "x" * 4001, "\u2e7f\u2e80"]
+    want = [math.ceil(len(WIDE.findall(t)) / 1.5 + (len(t.encode("utf-16-le")) // 2 - len(WIDE.findall(t))) / 4) for t in texts]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "i long, x string").select("i", estimate_tokens(F.col("x")).alias("n"))
+    assert list(map(tokens, texts)) == want and [row.n for row in df.orderBy("i").collect()] == [*want, 0]
+
+
+def test_records_of_a_huge_message_are_not_held():
+    content = "\n\n".join(f"Customer {i}\nname: n{i % 100}\nrank = {i % 4}" for i in range(40000))
+    tracemalloc.start()
+    text = repeats.records_sampled(content, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * len(content) and "[↑ 40000 records with similar structure, showing 3 samples]\n  name: 100 unique values\n  rank: 0, 1, 2, 3\n" in text
+    assert text.startswith("Customer 0\nname: n0\nrank = 0\n") and text.endswith("Customer 39999\nname: n99\nrank = 3")
+
+
+def test_messages_come_in_batches_bounded_by_bytes(spark):
+    engine.Engine().apply(spark.createDataFrame([(1, "x", "tool_output")], "msg_id long, content string, category string"))
+
+    @F.arrow_udf("long")
+    def batch(contents: pa.Array) -> pa.Array:
+        return pa.array([len(contents)] * len(contents), pa.int64())
+
+    many = spark.range(0, 2000, 1, 1).select(batch(F.repeat(F.lit("0123456789"), F.lit(10000))).alias("n"))
+    assert many.agg(F.max("n")).first()[0] <= 200
+
+
+def test_a_message_is_compacted_once(spark):
+    df = spark.createDataFrame([(1, "x", "tool_output")], "msg_id long, content string, category string")
+    plan = engine.rule_hits(engine.Engine().apply(df))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
