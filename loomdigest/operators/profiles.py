@@ -1,7 +1,8 @@
 """Figures of messages as tables: severities, tables' columns, diffs, listings, records, blocks, kinds.
 
 Lines are exploded where the scan put them and aggregated before any exchange, so only counts and
-distinct values travel; running sums over lines stay within a row as array folds.
+distinct values travel (of tables, whole columns); running sums and runs of lines stay within a row
+as array folds.
 """
 
 from __future__ import annotations
